@@ -1,16 +1,15 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
-A document is the mean of the embeddings of its subwords (letter n-grams of marked words, and the words, hashed into
-buckets); a linear softmax reads that mean. Embeddings and weights are trained by stochastic gradient descent in numpy on a
+A document is the mean of the embeddings of its subwords (letter n-grams of marked words, hashed into buckets); a linear
+softmax reads that mean. Embeddings and weights are trained by stochastic gradient descent in numpy on a
 bounded sample of labelled documents; a fifth of the sample is kept back to fit the temperature and the level of rejection.
-As mean and softmax input are linear, scoring needs one row of logits per bucket; a task sums them once for each distinct
-token and adds up tokens over the whole text.
+As mean and softmax input are linear, scoring needs one row of logits per bucket, summed over the whole text.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,19 +20,40 @@ from pyspark.sql import functions as F
 from .common import as_bytes, batched
 
 UND = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def subwords(token: str, buckets: int, shortest: int, longest: int) -> list[int]:
-    """Buckets of the n-grams of a token's lower-cased letter runs, each marked at its ends, and of the runs themselves."""
-    out = []
-    for run in LETTERS.findall(token.lower()):
-        if not any(map(str.isalpha, run)):
-            continue
-        word = f"<{run}>"
-        out.append(zlib.crc32(word.encode()) % buckets)
-        out.extend(zlib.crc32(word[i : i + n].encode()) % buckets for n in range(shortest, longest + 1) for i in range(len(word) - n + 1))
-    return out
+#: Characters read at a time.
+SPAN = 1 << 18
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+def subwords(text: str, bits: int, shortest: int, longest: int) -> Iterator[np.ndarray]:
+    """Buckets of a text's subwords, a span of the text at a time: n-grams of lower-cased letters, where what isn't a letter
+    is one mark that stands only at an n-gram's ends."""
+    letter = _letters()
+    for at in range(0, len(text), SPAN):
+        # Two characters of context before the span and longest - 1 after it; lower-casing may change their number.
+        head = text[max(0, at - 1) : at].lower() or "\0"
+        body, tail = text[at : at + SPAN].lower(), text[at + SPAN : at + SPAN + longest].lower() or "\0"
+        c = np.frombuffer((head[-1] + body + tail).encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.where(letter[c], c, 0).astype(np.uint64)
+        n = len(body) + 1
+        for size in range(shortest, longest + 1):
+            last = min(n, len(c) - size + 1)
+            if last <= 0:
+                continue
+            h, whole = np.full(last, size, np.uint64), np.ones(last, bool)
+            for k in range(size):
+                part = c[k : k + last]
+                h = h * np.uint64(0x9E3779B97F4A7C15) + part
+                if 0 < k < size - 1:
+                    whole &= part > 0
+            if size == 2:
+                whole = (c[:last] | c[1 : last + 1]) > 0
+            h = (h[whole] ^ (h[whole] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            yield (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -46,69 +66,41 @@ class LanguageModel:
     shortest: int
     longest: int
 
-    def reader(self, most_tokens: int = 150_000) -> TokenTable:
-        return TokenTable(self, most_tokens)
-
-
-class TokenTable(dict):
-    """token -> row of summed logits and their number, for one task."""
-
-    def __init__(self, model: LanguageModel, most: int):
-        super().__init__()
-        self.model, self.most = model, most
-        self.rows = np.zeros((1024, len(model.labels) + 1))
-
-    def __missing__(self, token: str) -> int:
-        m, k = self.model, len(self)
-        if k == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        found = subwords(token, len(m.logits), m.shortest, m.longest)
-        self.rows[k, :-1] = m.logits[found].sum(0) if found else 0.0
-        self.rows[k, -1] = len(found)
-        self[token] = k
-        return k
-
     def predict(self, text: str) -> tuple[str, float, bool]:
         """Label, calibrated probability and whether it is too low to trust."""
-        m = self.model
-        if not m.labels:
-            return UND, 0.0, True
-        if len(self) > self.most:
-            self.clear()
-        ids = [self[t] for t in text.split()]
-        total = self.rows[ids].sum(0) if ids else np.zeros(len(m.labels) + 1)
-        if not total[-1]:
+        total, n = np.zeros(len(self.labels)), 0
+        for part in subwords(text, self.logits.shape[0].bit_length() - 1, self.shortest, self.longest) if self.labels else ():
+            total += self.logits[part].sum(0, dtype=np.float64)
+            n += len(part)
+        if not n:
             return UND, 0.0, True
-        z = (total[:-1] / total[-1] + m.bias) / m.temperature
+        z = (total / n + self.bias) / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         k = int(p.argmax())
-        return m.labels[k], float(min(1.0, p[k])), bool(p[k] < m.level)
+        return self.labels[k], float(min(1.0, p[k])), bool(p[k] < self.level)
 
 
-def _features(text: str, buckets: int, shortest: int, longest: int, seen: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    found: list[int] = []
-    for t in text.split():
-        if t not in seen:
-            seen[t] = subwords(t, buckets, shortest, longest)
-        found += seen[t]
-    ids, n = np.unique(np.array(found, np.int64), return_counts=True)
-    return ids, (n / max(len(found), 1)).astype(np.float32)
+def _features(text: str, bits: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    n = np.zeros(1 << bits, np.int64)
+    for part in subwords(text, bits, shortest, longest):
+        n += np.bincount(part, minlength=1 << bits)
+    ids = np.flatnonzero(n)
+    return ids, (n[ids] / max(n.sum(), 1)).astype(np.float32)
 
 
-def train(sample: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 12, epochs: int = 4, rate: float = 0.6, shortest: int = 2, longest: int = 4, seed: int = 5, reject: float = 0.002) -> LanguageModel:
+def train(sample: list[tuple[str, str]], bits: int = 16, dim: int = 12, epochs: int = 4, rate: float = 0.3, shortest: int = 2, longest: int = 3, seed: int = 5, reject: float = 0.002) -> LanguageModel:
     """Fit on (text, label) pairs; every fifth pair is kept back for calibration. reject: share of the rightly labelled pairs
     kept back that the level may turn away; the level never lies above one half."""
     labels = tuple(sorted({y for _, y in sample}))
     if not labels:
-        return LanguageModel((), np.zeros((buckets, 0), np.float32), np.zeros(0), 1.0, 0.0, shortest, longest)
-    seen: dict[str, list[int]] = {}
-    rows = [(*_features(t, buckets, shortest, longest, seen), labels.index(y)) for t, y in sample]
+        return LanguageModel((), np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0, 0.0, shortest, longest)
+    rows = [(*_features(t, bits, shortest, longest), labels.index(y)) for t, y in sample]
     rows = [r for r in rows if len(r[0])]
     kept = rows[4::5]
     fit = [r for k, r in enumerate(rows) if k % 5 != 4] or rows
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
+    e = rng.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     w, b = np.zeros((dim, len(labels)), np.float32), np.zeros(len(labels), np.float32)
     w += rng.normal(0, 0.1, w.shape).astype(np.float32)
     steps, at = max(1, epochs * len(fit)), 0
@@ -125,8 +117,8 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 12,
             back = w @ p
             w -= step * np.outer(h, p)
             b -= step * p
-            e[ids] -= (step * len(ids)) * np.minimum(n, 0.05)[:, None] * back
-    logits = (e @ w).astype(np.float64)
+            e[ids] -= (step * min(50.0, 1.0 / float(n @ n))) * n[:, None] * back
+    logits = e @ w
 
     def scores(part):
         return np.array([n @ logits[ids] + b for ids, n, _ in part]), np.array([y for *_, y in part])
@@ -148,7 +140,7 @@ def train(sample: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 12,
     return LanguageModel(labels, logits, b.astype(np.float64), temperature, level, shortest, longest)
 
 
-def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 3000) -> list[tuple[str, str]]:
+def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 2000) -> list[tuple[str, str]]:
     """At most `most` labelled (text, label) pairs of documents whose crc32(id as text) mod 3 is not 1, those with the lowest
     digest of the id; the same for any partitioning. The lowest digests are found first, without texts."""
     digest = F.xxhash64(F.lit("langid"), F.col(id_col))
@@ -172,12 +164,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        table = shared.value.reader()
+        model = shared.value
 
         def rows():
             for b in batches:
                 for i, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), strict=True):
-                    yield (i, h, *table.predict(text.decode("utf-8", "replace")))
+                    yield (i, h, *model.predict(text.decode("utf-8", "replace")))
 
         yield from batched(rows(), PREDICTED)
 
@@ -192,8 +184,8 @@ def filter_rejected(docs: DataFrame, model: LanguageModel, text_col: str = "text
     at = docs.columns.index(text_col)
 
     def run(batches):
-        table = shared.value.reader()
+        model = shared.value
         for b in batches:
-            yield b.filter(pa.array([not table.predict(x.decode("utf-8", "replace"))[2] for x in as_bytes(b.column(at))], pa.bool_()))
+            yield b.filter(pa.array([not model.predict(x.decode("utf-8", "replace"))[2] for x in as_bytes(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
