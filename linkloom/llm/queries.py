@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, media, mixing, pieces, simhash
+from . import exact_dedup, langid, media, mixing, pieces, simhash, substring_dedup
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(langid.labelled_sample(docs)))
@@ -45,6 +49,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_simhash": op7_simhash,
     "op8_pieces": op8_pieces,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_langid": op10_langid,
 }
 
