@@ -35,7 +35,8 @@ def invert_schedule(share: Column, knots) -> Column:
     found: Column | None = None
     for t, _, w, m, d in _integral(knots):
         y = share - F.lit(d)
-        at = F.lit(t) + F.lit(2.0) * y / (F.lit(w) + F.sqrt(F.greatest(F.lit(w * w) + F.lit(2.0 * m) * y, F.lit(0.0))))
+        root = F.sqrt(F.greatest(F.lit(w * w) + F.lit(2.0 * m) * y, F.lit(0.0)))
+        at = F.lit(t) + F.coalesce(F.try_divide(F.lit(2.0) * y, F.lit(w) + root), F.when(y.isNotNull(), F.lit(0.0)))
         found = at if found is None else F.when(share >= F.lit(d), at).otherwise(found)
     return found
 
