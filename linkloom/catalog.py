@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import models
+from .operators import experiments, models, rules
 from .plans.decisions import QUERIES
 from .plans.workspace import Workspace, oracle
 from .sources import tsv
@@ -37,20 +37,27 @@ def _other(build, spark: SparkSession, folder: str) -> DataFrame:
     return build(workspace(spark, folder))
 
 
+#: Names of queries that show a relation in rounded or bare form.
+RENAMED = {"norm_names": "norm_name", "norm_addrs": "norm_addr", "token_idf_table": "token_idf", "block_index_table": "block_index", "block_mass_table": "block_mass", "block_scores_table": "block_scores"}
+
 #: Queries that are more than one relation.
 OTHERS: dict[str, Callable[[Workspace], DataFrame]] = {
     "scan_tsv_roundtrip": tsv.roundtrip,
     "stage1_scores": models.stage1_scores,
     "stage2_scores": models.stage2_scores,
     "pair_scorer": models.pair_scores,
+    "choose_rule": rules.choose_rule,
+    "learning_curve": experiments.learning_curve,
+    "unseen_country": experiments.unseen_country,
+    "feature_ablation": experiments.ablation,
     "stream_candidates": incremental.stream_candidates,
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: partial(_relation, n) for n in QUERIES} | {n: partial(_other, f) for n, f in OTHERS.items()}
+    return {RENAMED.get(n, n): partial(_relation, n) for n in QUERIES} | {n: partial(_other, f) for n, f in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {n: oracle(n) for n in QUERIES}
-    return {n: q for n, q in found.items() if q} | {"scan_tsv_roundtrip": oracle("source_rows"), "stream_candidates": oracle("streamed")}
+    return {RENAMED.get(n, n): q for n, q in found.items() if q} | {"scan_tsv_roundtrip": oracle("source_rows"), "stream_candidates": oracle("streamed")}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 
 
@@ -29,4 +31,23 @@ class LinkConfig:
     train_to: float = 0.45
 
 
-DEFAULT = LinkConfig()
+_now: ContextVar[LinkConfig] = ContextVar("linkloom_config", default=LinkConfig())
+
+
+class Current:
+    """The configuration under which a plan is rendered."""
+
+    def __getattr__(self, name: str):
+        return getattr(_now.get(), name)
+
+
+DEFAULT = Current()
+
+
+@contextmanager
+def using(config: LinkConfig):
+    token = _now.set(config)
+    try:
+        yield config
+    finally:
+        _now.reset(token)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import LinkConfig
 from ..plans.workspace import Workspace
 from ..sources.tsv import as_raw
 
@@ -16,8 +17,8 @@ class Linker:
     competition_features, one_owner, decide_threshold, result_table, macro_f05 and so on. Only countries that s1 has are
     linked; records of s1 without a country have no candidates and an empty result."""
 
-    def __init__(self, spark: SparkSession, s1: DataFrame, s2: DataFrame, s3: DataFrame, truth: DataFrame | None = None):
-        self.workspace = Workspace(spark, "")
+    def __init__(self, spark: SparkSession, s1: DataFrame, s2: DataFrame, s3: DataFrame, truth: DataFrame | None = None, config: LinkConfig | None = None):
+        self.workspace = Workspace(spark, "", config=config)
         rows = as_raw(s1, 1)
         countries = rows.select("country").where("country is not null").distinct()
         others = as_raw(s2, 2).unionByName(as_raw(s3, 3)).join(countries, "country", "left_semi").select(*rows.columns)

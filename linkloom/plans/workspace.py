@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..config import LinkConfig, using
 from ..functions import fold
 from . import decisions  # noqa: F401  (adds its relations)
 from .dialect import ORACLE, SPARK
@@ -28,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Relations over the tables of one folder. Stored ones are written once for the life of the workspace."""
 
-    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, DataFrame] | None = None):
-        self.spark, self.folder, self.tables = spark, folder, tables or {}
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, DataFrame] | None = None, config: LinkConfig | None = None):
+        self.spark, self.folder, self.tables, self.config = spark, folder, tables or {}, config or LinkConfig()
         self.mark = uuid.uuid4().hex[:8]
         self.built: dict[str, DataFrame] = {}
         fold.register(spark)
@@ -51,7 +52,9 @@ class Workspace:
 
     def relation(self, name: str) -> DataFrame:
         if name not in self.built:
-            df = self.sql(RELATIONS[name](SPARK))
+            with using(self.config):
+                text = RELATIONS[name](SPARK)
+            df = self.sql(text)
             if name in STORED:
                 path = f"{shared_dir(self.spark)}/linkloom-{name}-{uuid.uuid4().hex}"
                 df.write.parquet(path)
