@@ -356,7 +356,7 @@ def topk_rerank(d: Dialect) -> str:
 def quantile_grid(d: Dialect) -> str:
     """201 quantiles of the score by country, linearly interpolated, without repeats."""
     qs = ", ".join(f"{k / 200}" for k in range(201))
-    q = f"explode(array_distinct(transform(percentile(p, array({qs.replace(', ', 'D, ')}D)), x -> round(x, 6))))" if d.spark else f"unnest(list_distinct(list_transform(quantile_cont(p, [{qs}]), lambda x: round(x, 6))))"
+    q = f"explode(array_distinct(transform(percentile(p, array({qs.replace(', ', 'D, ')}D)), x -> round(x, 9))))" if d.spark else f"unnest(list_distinct(list_transform(quantile_cont(p, [{qs}]), lambda x: round(x, 9))))"
     return f"SELECT country, {q} AS q FROM @predicted GROUP BY country"
 
 
