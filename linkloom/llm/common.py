@@ -46,6 +46,14 @@ def drop_scratch(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """df, in a session that sends texts to Python in batches of at most 8 MB: rows can be long, and a task holds a batch
+    several times over."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as UTF-8; null counts as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched
+from .common import as_bytes, batched, lean
 
 UND = "und"
 #: Characters read at a time.
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         yield from batched(rows(), PREDICTED)
 
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    source = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
@@ -188,4 +188,4 @@ def filter_rejected(docs: DataFrame, model: LanguageModel, text_col: str = "text
         for b in batches:
             yield b.filter(pa.array([not model.predict(x.decode("utf-8", "replace"))[2] for x in as_bytes(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)

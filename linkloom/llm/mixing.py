@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: (time, weight) knots of a source's schedule, by the source's place in the cycle of weights.
@@ -77,7 +77,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     first word that it takes; null where it takes none. Equal rows are interchangeable; reruns agree. An empty table gives an empty result. digits: hexadecimal
     digits of the digest that name a bucket (16 ** digits buckets for each source).
     """
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("content", F.xxhash64("text"))
+    raw = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("content", F.xxhash64("text"))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sizes = raw.select("doc_id", "content", "source", F.regexp_count("text", F.lit(WORDS)).cast("long").alias("size"), order.alias("digest"))
     sizes = materialise(sizes, "mix-sizes").withColumn("bucket", F.substring("digest", 1, digits))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched
+from .common import as_bytes, batched, lean
 
 MARK = "▁"
 _models: dict[str, ChunkTable] = {}
@@ -84,12 +84,13 @@ def _each(model, most_chunks: int, out, schema: pa.Schema, weigh: int | None):
                         table.clear()
 
         yield from batched(rows(), schema, weigh=weigh)
+        table.clear()  # a worker outlives its task, and other operators' tasks run in it
 
     return run
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def _model(docs: DataFrame, model_path: str):
@@ -98,7 +99,7 @@ def _model(docs: DataFrame, model_path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most_chunks: int = 300_000) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most_chunks: int = 200_000) -> DataFrame:
     """doc_id, ids and decoded text of every row; ids as the library's encode(text) gives them, without begin and end ids. A
     null text counts as empty and has no ids. most_chunks: entries at which a task's table starts anew; results don't depend
     on it."""
@@ -109,7 +110,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     return _source(docs, id_col, text_col).mapInArrow(_each(_model(docs, model_path), most_chunks, out, CODES, 2), CODES_DDL)
 
 
-def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most_chunks: int = 300_000) -> DataFrame:
+def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", most_chunks: int = 200_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of decimal ids joined by commas) and decoded_sha256 of every row, as encode_pieces() would
     give them. A null text counts as empty; repeated rows each give a row; other columns are not read; an empty table gives an
     empty result."""

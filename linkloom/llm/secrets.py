@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 
 # Fixed values of the contract. Letters of the assigned names stand in either case; written out, so that no engine folds others.
 NAME = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -48,7 +48,7 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
 def candidates(docs: DataFrame, id_col: str, text_col: str, repository_col: str, owner_col: str) -> DataFrame:
     """doc_id, content (hash of the text), repository, owner, spans (in order of start, then kind) of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"), F.xxhash64(text).alias("content"))
+    rows = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), text.alias("text"), F.xxhash64(text).alias("content"))
     found = F.concat(*[_spans(F.col("text"), p, k) for k, p in enumerate((ASSIGN, ACCESS, HEX))])
     by_place = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["lead"].alias("lead"), F.xxhash64(s["value"]).alias("hash"))))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,lead:int,hash:bigint>>)")
