@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, materialise
+from .common import as_bytes, batched, lean, materialise
 
 CLASSES, BITS = 64, 6
 CODES = 1 << 3 * BITS
@@ -222,20 +222,21 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     over all of them. kept: perplexity within the threshold. A null or empty text has no perplexity and isn't kept; without
     any trusted text everything else is kept. A null id is never trusted; repeated rows get the same answer; an empty table
     gives an empty result."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = materialise(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted-ids")
     n = ids.count()
     trusted = source.join(F.broadcast(ids) if n <= FEW_IDS else ids, "doc_id", "left_semi")
     counts = materialise(_counted(trusted.select("text")), "trigrams")
     scores = perplexities(source, counts)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("content"))
+    rows = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("content"))
     s = scores.select(F.col("doc_id").alias("id"), F.col("content").alias("of"), "perplexity")
     scored = rows.join(s, rows["doc_id"].eqNullSafe(s["id"]) & (rows["content"] == s["of"]), "left").select("doc_id", "lang", "perplexity")
     scored = materialise(scored, "perplexities")
     good = scored.join(ids, "doc_id", "left_semi").where("perplexity is not null")
     cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * F.lit(slack)
     whole = good.agg(cut.alias("whole"))
-    by_lang = good.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "of")
+    # A table of one row for each language: Spark sees its size and sends it to all tasks while it is small.
+    by_lang = materialise(good.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "of"), "thresholds")
     told = scored.crossJoin(F.broadcast(whole)).join(by_lang, F.col("lang") == F.col("of"), "left").withColumn("threshold", F.coalesce("own", "whole"))
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
     return told.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
