@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, signed
+from .common import as_bytes, batched, lean, materialise, signed
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = b"abcdefghijklmnopqrstuvwxyz"
@@ -175,7 +175,7 @@ def _digests(batches):
     yield from batched(rows(), KEYED)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", trie_bytes: int = 96 << 20, salts: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", trie_bytes: int = 64 << 20, salts: int = 16) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z only; a null text counts as empty. keep: whether the row with the
@@ -184,10 +184,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     trie_bytes: memory of one trie; over it, subtrees are handed on in parts. salts: owners among which the partial rows of
     one repeated text are dealt.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = source.mapInArrow(_local(trie_bytes, salts), PARTS_DDL)
     owned = parts.repartition("n_bytes", "content_hash", "salt").mapInArrow(_owners(trie_bytes), "digest binary, low long, high long, rows long")
     owners = owned.groupBy("digest").agg((F.max("high") if keep == "largest" else F.min("low")).alias("keep_id"), F.sum("rows").alias("group_size"))
+    owners = materialise(owners, "owners")  # an exchange right below the join lets Spark split a hot digest
     keyed = source.mapInArrow(_digests, "doc_id long, digest binary")
     return keyed.join(owners, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
