@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, materialise
+from .common import as_bytes, batched, lean, materialise
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 GOLAY = 0b101011100011  # generator polynomial of the [23, 12] code
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         yield from batched(rows(), PRINTS)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, content long")
+    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long, content long")
 
 
 def _placed(prints: DataFrame, reach: int, name: str) -> DataFrame:
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(roots.join(degrees, "node"), nodes["fp"] == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = materialise(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = named.join(least, "root").select("fp", "component_id", "n_links")
+    groups = materialise(named.join(least, "root").select("fp", "component_id", "n_links"), "groups")  # an exchange right below the join lets Spark split a hot fingerprint
     return rows.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "content")
 
 
