@@ -6,10 +6,15 @@ hash, the smallest document that starts it.
 
 Windows that cannot repeat are told apart before they are shuffled. Every window names its minimiser: of its sub-windows of
 `seed_words` words, the one with the least hash (the leftmost of equals). Equal windows have equal minimisers, so a window
-whose minimiser stands in one document only is in that document only. Pass 1 counts minimisers (about one for each twentieth
+whose minimiser stands in one document only is in that document only. Pass 1 counts minimisers (about one for each tenth
 window) and sets a bit of a fixed-size bitmap for those that stand in two documents or more. Pass 2 counts the windows whose
 minimiser's bit is set. A bit set by chance costs a row and changes no result.
 
+Pass 2 sends the consecutive windows of one minimiser as one row, dealt by minimiser and sorted by document: a window that a
+smaller document has had before it repeats, and the first one is noted. Minimisers that stand in many documents are salted,
+and a group whose notes outgrow their budget starts new ones; the first windows of such parts meet once more, by hash, in an
+aggregate and a join that Spark can split.
+
 Repeated windows of a document merge into maximal intervals of words to remove.
 """
 
@@ -23,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, materialise
+from .common import as_bytes, batched, lean, materialise, signed
 
 U = np.uint64
 BASE_1, BASE_2 = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
@@ -74,17 +79,20 @@ def minimisers(seeds: np.ndarray, span: int) -> np.ndarray:
     return index
 
 
-SEEDS = pa.schema([("seed", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
-WINDOWS = pa.schema([("h", pa.int64()), ("c", pa.int32()), ("doc_id", pa.int64()), ("content", pa.int64()), ("at", pa.int32())])
+SEEDS = pa.schema([("seed", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())])
+RUNS = pa.schema([("seed", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("windows", pa.binary())])
+NOTES = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("h", pa.int64()), ("c", pa.int32())])
+#: A window as it is sent: 96 bits.
+HASH = np.dtype([("h", "<u8"), ("c", "<u4")])
+SALTS = 64
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def shared_seeds(source: DataFrame, window: int, seed_words: int, bits: int) -> np.ndarray:
-    """A bitmap of 2 ** bits bits: set where the hash of a minimiser that stands in two documents or more falls. Tasks and
-    Spark's aggregate set the bits; what reaches the driver is at most the bitmap, whatever the corpus."""
+def shared_seeds(source: DataFrame, window: int, seed_words: int) -> DataFrame:
+    """seed, n: the minimisers that stand in two documents or more, and in about how many rows."""
 
     def run(batches):
         roll = Rolling(BASE_1)
@@ -103,71 +111,132 @@ def shared_seeds(source: DataFrame, window: int, seed_words: int, bits: int) ->
                 order = np.lexsort((i, h))
                 h, i = h[order], i[order]
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                last = np.concatenate([first[1:], [len(h)]]) - 1
+                last = np.concatenate([first[1:], [len(h)]])
                 for k in range(0, len(first), 10_000):
                     f, z = first[k : k + 10_000], last[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[f].view(np.int64)), pa.array(i[f]), pa.array(i[z])], schema=SEEDS)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[f].view(np.int64)), pa.array(i[f]), pa.array(i[z - 1]), pa.array(z - f)], schema=SEEDS)
+
+    found = source.mapInArrow(run, "seed long, low long, high long, n long")
+    return found.groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high").select("seed", "n")
+
 
-    found = source.mapInArrow(run, "seed long, low long, high long")
-    shared = found.groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    rows = shared.select(F.shiftrightunsigned("seed", 70 - bits).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))").alias("bit"))
-    set_bits = rows.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    bitmap = np.zeros(1 << (bits - 6), np.int64)
-    table = set_bits.toArrow()
-    bitmap[np.asarray(table.column("word")).astype(np.int64)] = np.asarray(table.column("bits"))
-    return bitmap.view(U)
+def bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
+    """2 ** bits bits, set where seeds fall. Spark's aggregate sets them; what reaches the driver is at most the bitmap."""
+    rows = seeds.select(F.shiftrightunsigned("seed", 70 - bits).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))").alias("bit"))
+    table = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[np.asarray(table.column("word")).astype(np.int64)] = np.asarray(table.column("bits"))
+    return out.view(U)
 
 
-def repeated_windows(source: DataFrame, window: int, seed_words: int, bits: int) -> DataFrame:
-    """doc_id, content, at: the windows (by their first word) that start in a document with a smaller id as well."""
-    bitmap = source.sparkSession.sparkContext.broadcast(shared_seeds(source, window, seed_words, bits))
+def _marked(marks: np.ndarray, seeds: np.ndarray, bits: int) -> np.ndarray:
+    place = seeds >> U(64 - bits)
+    return (marks[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1)).astype(bool)
 
+
+def _runs(source: DataFrame, marks, window: int, seed_words: int, bits: int) -> DataFrame:
     def run(batches):
-        one, two, shared = Rolling(BASE_1), Rolling(BASE_2), bitmap.value
-        for b in batches:
-            held, size = [], 0
+        one, two, (shared, hot) = Rolling(BASE_1), Rolling(BASE_2), marks.value
 
-            def flush(held):
-                h, c, i, t, at = (np.concatenate(x) for x in zip(*held, strict=True))
-                for k in range(0, len(h), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (h, c, i, t, at)], schema=WINDOWS)
+        def rows():
+            for b in batches:
+                for i, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                    words = words_of(text)
+                    if i is None or len(words) < window:
+                        continue
+                    values = word_values(words)
+                    seeds = one(values, seed_words)
+                    least = minimisers(seeds, window - seed_words + 1)
+                    at = np.flatnonzero(_marked(shared, seeds, bits)[least])
+                    if not len(at):
+                        continue
+                    hashes = np.empty(len(at), HASH)
+                    hashes["h"] = one(values, window)[at]
+                    hashes["c"] = two(values, window)[at] >> U(32)
+                    sent, content = hashes.tobytes(), signed(xxhash.xxh64_intdigest(text, 42))
+                    starts = np.flatnonzero(np.concatenate([[True], (np.diff(least[at]) != 0) | (np.diff(at) != 1)]))
+                    ends = np.concatenate([starts[1:], [len(at)]])
+                    mine = seeds[least[at[starts]]]
+                    salts = np.where(_marked(hot, mine, bits), content % SALTS, -1)
+                    for a, z, s, salt in zip(starts.tolist(), ends.tolist(), mine.view(np.int64).tolist(), salts.tolist(), strict=True):
+                        yield s, salt, i, content, int(at[a]), sent[12 * a : 12 * z]
+
+        yield from batched(rows(), RUNS, weigh=5)
+
+    return source.mapInArrow(run, "seed long, salt int, doc_id long, content long, at int, windows binary")
+
+
+def _notes(runs: DataFrame, budget: int) -> DataFrame:
+    """Intervals [a, b) of repeated windows, without a hash; and, of salted groups and of those that outgrow the budget, the
+    first windows of their parts, with their hash."""
 
-            for i, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                words = words_of(text)
-                if i is None or len(words) < window:
-                    continue
-                values = word_values(words)
-                seeds = one(values, seed_words)
-                place = seeds >> U(64 - bits)
-                marked = (shared[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1)).astype(bool)
-                at = np.flatnonzero(marked[minimisers(seeds, window - seed_words + 1)])
-                if not len(at):
-                    continue
-                h = one(values, window)[at]
-                c = (two(values, window)[at] >> U(32)).astype(np.uint32).view(np.int32)
-                content = np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64)
-                held.append((h.view(np.int64), c, np.full(len(at), i, np.int64), np.full(len(at), content, np.int64), at.astype(np.int32)))
-                size += len(at)
-                if size >= 200_000:
-                    yield from flush(held)
-                    held, size = [], 0
-            if held:
-                yield from flush(held)
-
-    windows = source.mapInArrow(run, "h long, c int, doc_id long, content long, at int")
-    first = windows.groupBy("h", "c").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "c", "low")
-    first = materialise(first, "windows")
-    return windows.join(first, ["h", "c"]).where(F.col("doc_id") > F.col("low")).select("doc_id", "content", "at")
-
-
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 10, bits: int = 26) -> DataFrame:
+    def run(batches):
+        def firsts(seen, again):
+            for key, (i, content, at) in [*seen.items(), *again]:
+                h, c = np.frombuffer(key, HASH)[0]
+                yield i, content, at, at + 1, int(np.uint64(h).view(np.int64)), int(np.uint32(c).view(np.int32))
+
+        def rows():
+            now, seen, again, split = None, {}, [], False  # again: windows that the noted document has once more
+            for b in batches:
+                for seed, salt, i, content, at, sent in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                    if (seed, salt) != now:
+                        if split:
+                            yield from firsts(seen, again)
+                        now, seen, again, split = (seed, salt), {}, [], salt >= 0
+                    start = None
+                    for k in range(len(sent) // 12):
+                        key = sent[12 * k : 12 * k + 12]
+                        had = seen.get(key)
+                        if had is None:
+                            seen[key] = (i, content, at + k)
+                        elif had[0] == i:
+                            again.append((key, (i, content, at + k)))
+                        if had is not None and had[0] < i:
+                            if start is None:
+                                start = k
+                        elif start is not None:
+                            yield i, content, at + start, at + k, None, None
+                            start = None
+                    if start is not None:
+                        yield i, content, at + start, at + len(sent) // 12, None, None
+                    if len(seen) + len(again) > budget:
+                        yield from firsts(seen, again)
+                        seen, again, split = {}, [], True
+            if split:
+                yield from firsts(seen, again)
+
+        yield from batched(rows(), NOTES)
+
+    dealt = runs.repartition("seed", "salt").sortWithinPartitions("seed", "salt", "doc_id")
+    return dealt.mapInArrow(run, "doc_id long, content long, a int, b int, h long, c int")
+
+
+def repeated_windows(source: DataFrame, window: int, seed_words: int, bits: int, hot_rows: int, budget: int) -> DataFrame:
+    """doc_id, content, a, b: intervals of windows (by their first words) that start in a document with a smaller id as well."""
+    seeds = materialise(shared_seeds(source, window, seed_words), "seeds")
+    marks = source.sparkSession.sparkContext.broadcast((bitmap(seeds, bits), bitmap(seeds.where(F.col("n") > hot_rows), bits)))
+    notes = materialise(_notes(_runs(source, marks, window, seed_words, bits), budget), "windows")
+    firsts = notes.where("h is not null")
+    least = materialise(firsts.groupBy("h", "c").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "c", "low"), "firsts")
+    # A window noted in one part only is the smallest of its part; its copies there are known, those of other parts are here.
+    late = firsts.join(least, ["h", "c"]).where(F.col("doc_id") > F.col("low")).select("doc_id", "content", "a", "b")
+    return notes.where("h is null").select("doc_id", "content", "a", "b").unionByName(late)
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 20_000, budget: int = 400_000) -> DataFrame:
     """doc_id, content, spans: for each document that loses words, maximal intervals [first word, end) in order."""
-    found = repeated_windows(_source(docs, id_col, text_col), window, seed_words, bits)
-    starts = found.groupBy("doc_id", "content").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    # A start after the end of the interval before it opens an interval; positions of one document only.
-    opens = F.expr(f"filter(sequence(0, size(starts) - 1), k -> k = 0 or starts[k] > starts[greatest(k - 1, 0)] + {window})")
-    ends = F.expr(f"transform(opens, (o, k) -> struct(starts[o] as a, starts[if(k + 1 < size(opens), opens[least(k + 1, size(opens) - 1)], size(starts)) - 1] + {window} as b))")
-    return starts.withColumn("opens", opens).withColumn("spans", ends).select("doc_id", "content", "spans")
+    found = repeated_windows(_source(docs, id_col, text_col), window, seed_words, bits, hot_rows, budget)
+    words = F.struct(F.col("a"), (F.col("b") + (window - 1)).alias("b"))
+    listed = found.groupBy("doc_id", "content").agg(F.sort_array(F.collect_set(words)).alias("all"))
+    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
+
+    def join(done, x):
+        last = F.element_at(done, -1)
+        wider = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["b"] >= x["a"]), wider).otherwise(F.concat(done, F.array(x)))
+
+    return listed.select("doc_id", "content", F.aggregate("all", none, join).alias("spans"))
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -205,23 +274,24 @@ def _each(out, schema, weigh=None):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 10, bits: int = 26) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 20_000, budget: int = 400_000) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
     Words stand between bytes 20 and 09-0D, unchanged; null counts as no words. A word goes if a window of `window` words that
     covers it also starts in a document with a smaller id; windows are judged on the input. Rows without an id lose nothing
-    and cause no loss; rows that repeat an id don't cause each other loss. An empty table gives an empty result."""
+    and cause no loss; rows that repeat an id don't cause each other loss. An empty table gives an empty result. hot_rows: rows
+    from which a minimiser is salted. budget: windows that a group notes before it starts anew. Results depend on neither."""
 
     def out(i, n, kept):
         return i, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    return _joined(docs, id_col, text_col, window=window, seed_words=seed_words, bits=bits).mapInArrow(_each(out, KEPT), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _joined(docs, id_col, text_col, window=window, seed_words=seed_words, bits=bits, hot_rows=hot_rows, budget=budget).mapInArrow(_each(out, KEPT), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 10, bits: int = 26) -> DataFrame:
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 20_000, budget: int = 400_000) -> DataFrame:
     """doc_id and the kept words of every row joined by one space."""
 
     def out(i, n, kept):
         return i, b" ".join(kept).decode("utf-8", "replace")
 
-    return _joined(docs, id_col, text_col, window=window, seed_words=seed_words, bits=bits).mapInArrow(_each(out, TEXTS, 1), "doc_id long, kept string")
+    return _joined(docs, id_col, text_col, window=window, seed_words=seed_words, bits=bits, hot_rows=hot_rows, budget=budget).mapInArrow(_each(out, TEXTS, 1), "doc_id long, kept string")

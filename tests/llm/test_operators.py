@@ -304,7 +304,9 @@ def test_substring_dedup(docs, rows):
     assert sum(e[2] for e in expected) > 100
     same(substring_dedup.dedup_substrings(docs), expected)
     same(substring_dedup.dedup_substrings(docs, bits=8), expected)  # a full bitmap tells nothing apart and changes nothing
-    same(substring_dedup.dedup_substrings(docs, window=3, seed_words=3), list(brute_windows(rows, 3)))
+    same(substring_dedup.dedup_substrings(docs, seed_words=10, hot_rows=1, budget=20), expected)  # salted groups and parts of groups meet again
+    same(substring_dedup.dedup_substrings(docs, seed_words=50, hot_rows=0, budget=1), expected)
+    same(substring_dedup.dedup_substrings(docs, window=3, seed_words=3, budget=2), list(brute_windows(rows, 3)))
 
 
 def test_language_id(spark, docs, rows):
