@@ -84,7 +84,7 @@ RUNS = pa.schema([("seed", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int6
 NOTES = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("h", pa.int64()), ("c", pa.int32())])
 #: A window as it is sent: 96 bits.
 HASH = np.dtype([("h", "<u8"), ("c", "<u4")])
-SALTS = 64
+SALTS = 128
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -224,7 +224,7 @@ def repeated_windows(source: DataFrame, window: int, seed_words: int, bits: int,
     return notes.where("h is null").select("doc_id", "content", "a", "b").unionByName(late)
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 20_000, budget: int = 400_000) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 5_000, budget: int = 400_000) -> DataFrame:
     """doc_id, content, spans: for each document that loses words, maximal intervals [first word, end) in order."""
     found = repeated_windows(_source(docs, id_col, text_col), window, seed_words, bits, hot_rows, budget)
     words = F.struct(F.col("a"), (F.col("b") + (window - 1)).alias("b"))
@@ -247,7 +247,8 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame
     spans = materialise(removals(docs, id_col, text_col, **options), "removals")
     source = _source(docs, id_col, text_col).withColumn("content", F.xxhash64("text"))
     cut = spans.select("doc_id", "content", F.transform("spans", lambda s: s["a"]).alias("firsts"), F.transform("spans", lambda s: s["b"]).alias("ends"))
-    return source.join(cut, ["doc_id", "content"], "left").select("doc_id", "text", "firsts", "ends")
+    # The table of removals grows with the corpus: joined by a shuffle at every size.
+    return source.join(cut.hint("merge"), ["doc_id", "content"], "left").select("doc_id", "text", "firsts", "ends")
 
 
 def _kept_words(text: bytes, firsts, ends) -> tuple[int, list[bytes]]:
@@ -274,7 +275,7 @@ def _each(out, schema, weigh=None):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 20_000, budget: int = 400_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 5_000, budget: int = 400_000) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
     Words stand between bytes 20 and 09-0D, unchanged; null counts as no words. A word goes if a window of `window` words that
@@ -288,7 +289,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return _joined(docs, id_col, text_col, window=window, seed_words=seed_words, bits=bits, hot_rows=hot_rows, budget=budget).mapInArrow(_each(out, KEPT), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 20_000, budget: int = 400_000) -> DataFrame:
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 5_000, budget: int = 400_000) -> DataFrame:
     """doc_id and the kept words of every row joined by one space."""
 
     def out(i, n, kept):
