@@ -157,7 +157,7 @@ def _runs(source: DataFrame, marks, window: int, seed_words: int, bits: int) ->
                     starts = np.flatnonzero(np.concatenate([[True], (np.diff(least[at]) != 0) | (np.diff(at) != 1)]))
                     ends = np.concatenate([starts[1:], [len(at)]])
                     mine = seeds[least[at[starts]]]
-                    salts = np.where(_marked(hot, mine, bits), content % SALTS, -1)
+                    salts = np.where(_marked(hot, mine, bits), i % SALTS, -1)
                     for a, z, s, salt in zip(starts.tolist(), ends.tolist(), mine.view(np.int64).tolist(), salts.tolist(), strict=True):
                         yield s, salt, i, content, int(at[a]), sent[12 * a : 12 * z]
 
