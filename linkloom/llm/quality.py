@@ -5,7 +5,7 @@ sharded by the middle class: a shard holds all that the probabilities of its tri
 discounts. Documents are cut into the same shards, as packed (trigram, count) vectors; the join of a shard's documents with
 its counts gives each document's part of the log likelihood, and the parts add up to its perplexity. In a partition, the
 shard's counts come first and its documents stream past them. Thresholds are quantiles of the trusted documents' perplexities
-by language.
+by language. Since this model's size is fixed, classify() also asks the word model of words.py, which grows with the text.
 """
 
 from __future__ import annotations
@@ -215,13 +215,17 @@ def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, slack: float = 1.03) -> DataFrame:
-    """One row for each row of docs: doc_id, lang, perplexity, threshold, kept.
+    """One row for each row of docs: doc_id, lang, perplexity, threshold, kept, word_perplexity, word_threshold.
 
     trusted_ids: one column doc_id; documents with such an id are the trusted text. A language's threshold is the quantile of
     its trusted documents' perplexities times slack; a language without trusted documents, null included, has the quantile
-    over all of them. kept: perplexity within the threshold. A null or empty text has no perplexity and isn't kept; without
+    over all of them. The word model counts four fifths of the trusted texts, as it would know by heart what it has counted; its
+thresholds come likewise from the others (by content hash), without which there are none. kept: both perplexities within
+their thresholds. A null or empty text has no perplexity and isn't kept; without
     any trusted text everything else is kept. A null id is never trusted; repeated rows get the same answer; an empty table
     gives an empty result."""
+    from .words import held_back, word_perplexities
+
     source = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ids = materialise(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted-ids")
     n = ids.count()
@@ -230,13 +234,21 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     scores = perplexities(source, counts)
     rows = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("content"))
     s = scores.select(F.col("doc_id").alias("id"), F.col("content").alias("of"), "perplexity")
-    scored = rows.join(s, rows["doc_id"].eqNullSafe(s["id"]) & (rows["content"] == s["of"]), "left").select("doc_id", "lang", "perplexity")
+    w = word_perplexities(source, trusted.where(~held_back(F.xxhash64("text"))).select("text")).select(F.col("doc_id").alias("wid"), F.col("content").alias("wof"), "word_perplexity")
+    scored = rows.join(s, rows["doc_id"].eqNullSafe(s["id"]) & (rows["content"] == s["of"]), "left")
+    scored = scored.join(w, scored["doc_id"].eqNullSafe(w["wid"]) & (scored["content"] == w["wof"]), "left").select("doc_id", "lang", "content", "perplexity", "word_perplexity")
     scored = materialise(scored, "perplexities")
     good = scored.join(ids, "doc_id", "left_semi").where("perplexity is not null")
-    cut = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * F.lit(slack)
-    whole = good.agg(cut.alias("whole"))
+
+    def cut(of: str):
+        value = F.when(held_back(F.col("content")), F.col(of)) if of == "word_perplexity" else F.col(of)
+        return F.percentile_approx(value, F.lit(quantile), F.lit(10_000)) * F.lit(slack)
+
+    whole = good.agg(cut("perplexity").alias("whole"), cut("word_perplexity").alias("word_whole"))
     # A table of one row for each language: Spark sees its size and sends it to all tasks while it is small.
-    by_lang = materialise(good.groupBy("lang").agg(cut.alias("own")).withColumnRenamed("lang", "of"), "thresholds")
-    told = scored.crossJoin(F.broadcast(whole)).join(by_lang, F.col("lang") == F.col("of"), "left").withColumn("threshold", F.coalesce("own", "whole"))
+    by_lang = materialise(good.groupBy("lang").agg(cut("perplexity").alias("own"), cut("word_perplexity").alias("word_own")).withColumnRenamed("lang", "of"), "thresholds")
+    told = scored.crossJoin(F.broadcast(whole)).join(by_lang, F.col("lang") == F.col("of"), "left")
+    told = told.withColumn("threshold", F.coalesce("own", "whole")).withColumn("word_threshold", F.coalesce("word_own", "word_whole"))
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    return told.select("doc_id", "lang", "perplexity", "threshold", kept.alias("kept"))
+    worded = F.coalesce(F.col("word_perplexity") <= F.col("word_threshold"), F.lit(True))
+    return told.select("doc_id", "lang", "perplexity", "threshold", (kept & worded).alias("kept"), "word_perplexity", "word_threshold")

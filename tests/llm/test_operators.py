@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from linkloom.llm import exact_dedup, langid, licenses, media, mixing, pieces, quality, queries, secrets, simhash, substring_dedup, webp
+from linkloom.llm import words as words_model
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -377,3 +378,40 @@ def test_packed_vectors_round_trip():
     counts = rng.integers(1, 100_000, len(codes))
     a, b = quality.unpack(quality.pack(codes, counts))
     assert dict(zip(a.tolist(), b.tolist(), strict=True)) == dict(zip(codes.tolist(), counts.tolist(), strict=True))
+
+
+def test_quality_by_words(spark, folder, rows):
+    """Perplexities by an open vocabulary against brute force; the model grows with the trusted text."""
+    content = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    content_signed = lambda t: content(t) - (content(t) >> 63 << 64)
+    counted = [t for i, t, *_ in rows if i is not None and 100 <= i < 130 and content_signed(t) % words_model.HELD_BACK]
+    assert 0 < len(counted) < 30
+    pad = lambda t: ["<s>", "<s>", *t.split(), "</s>"]
+    tri = Counter(g for t in counted for g in zip(pad(t), pad(t)[1:], pad(t)[2:]))
+    two = Counter((b, c) for _, b, c in tri)
+    one = Counter(c for _, c in two)
+    d3, d2 = (quality.discounts([sum(v == k for v in n.values()) for k in (1, 2, 3, 4)]) for n in (tri, two))
+    by3, by2 = defaultdict(list), defaultdict(list)
+    for (a, b, _), n in tri.items():
+        by3[a, b].append(n)
+    for (b, _), n in two.items():
+        by2[b].append(n)
+    total = sum(one.values())
+
+    def mix(n, context, d, under):
+        return under if not context else (n - d[min(n, 3) - 1] if n else 0) / sum(context) + sum(d[min(k, 3) - 1] for k in context) / sum(context) * under
+
+    def p(a, b, c):
+        p1 = max(one[c] - 0.5, 0) / total + 0.5 * len(one) / total / (len(one) + 1)
+        return mix(tri[a, b, c], by3.get((a, b)), d3, mix(two[b, c], by2.get(b), d2, p1))
+
+    some = pad(counted[0])
+    for a, b in ((some[2], some[3]), ("<s>", "<s>"), ("nowhere", some[3]), ("no", "where")):
+        assert sum(p(a, b, c) for c in [*one, "unknown"]) == pytest.approx(1)
+    got = queries.op1_quality(spark, folder).collect()
+    for i, t, *_ in rows:
+        if t and i is not None and [r[0] for r in rows].count(i) == 1:
+            logs = [math.log(p(*g)) for g in zip(pad(t), pad(t)[1:], pad(t)[2:])]
+            assert [r.word_perplexity for r in got if r.doc_id == i] == [pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-6)]
+    sizes = [words_model.word_model(spark.createDataFrame([(" ".join(f"w{k}" for k in range(n)),)], "text string"))[0].count() for n in (1000, 10_000)]
+    assert sizes[1] > 9 * sizes[0]
