@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import exact_dedup, langid, mixing, pieces, simhash
+from linkloom.llm import exact_dedup, langid, mixing, near_copies, pieces
 from linkloom.llm.common import materialise, table
 from linkloom.llm.queries import piece_model
 
@@ -27,8 +27,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
-    return simhash.keep_one(docs).select(docs.columns)
+    """Of each group of near copies (SimHash, or 0.8 Jaccard similarity on five words), the document with the smallest id."""
+    return near_copies.keep_one(docs).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

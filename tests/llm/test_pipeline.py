@@ -1,10 +1,11 @@
 """The corpus pipeline against its stages by brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import corpus_pipeline
-from linkloom.llm import langid, mixing, queries
+from linkloom.llm import langid, mixing, queries, simhash
 
 
 def test_stages_and_run(spark, folder):
@@ -41,3 +42,32 @@ def test_stages_and_run(spark, folder):
 
 def test_mixing_of_an_empty_table(empty):
     assert mixing.read_in_order(empty).columns == empty.columns
+
+
+def test_near_copies_against_brute_force(spark):
+    """Pairs of 0.8 Jaccard similarity on five words, most of them further apart than SimHash's 2 bits."""
+    r = random.Random(5)
+    texts = []
+    for _ in range(25):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.randint(60, 200))]
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(r.randint(1, 4)):
+                copy[r.randrange(len(copy))] = f"v{r.randrange(5000)}"
+            texts.append(copy)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    group = list(range(len(texts)))
+    prints = [simhash.fingerprint(" ".join(t).encode()) for t in texts]
+    beyond = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            close = (prints[a] ^ prints[b]).bit_count() <= 2
+            similar = len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            beyond += similar and not close
+            if close or similar:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    assert beyond > 10
+    docs = spark.createDataFrame([(k, " ".join(t), "en", "a", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(row[0] for row in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()) == sorted(set(group))
