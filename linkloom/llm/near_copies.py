@@ -106,8 +106,8 @@ def links(texts: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs, all columns, that have the smallest id of their group of near copies. Groups are components over
     texts that are equal, have `least` Jaccard similarity or more on shingles of `size` words, or are linked by SimHash (its
-    own shingles and distance). Rows without an id stay only if their whole group has none, and then those of its smallest
-    content hash."""
+    own shingles and distance). Exactly one row of each group stays: a row without an id only if its whole group
+    has none; ties go to the smallest content hash, and of rows that repeat both id and text any one stays."""
     content = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     texts = lean(docs).select(content.alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     simhash = materialise(near_duplicates(docs, id_col, text_col), "copy-prints")
@@ -121,4 +121,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     best = nodes.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("best"))
     kept = best.select(F.col("best.low").alias("__id"), F.col("best.node").alias("__node"))
     rows = docs.withColumn("__content", content)
-    return rows.join(kept, (rows["__content"] == kept["__node"]) & rows[id_col].cast("long").eqNullSafe(kept["__id"]), "left_semi").drop("__content")
+    return rows.join(kept, (rows["__content"] == kept["__node"]) & rows[id_col].cast("long").eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["__content"]).drop("__content")

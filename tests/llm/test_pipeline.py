@@ -71,3 +71,12 @@ def test_near_copies_against_brute_force(spark):
     assert beyond > 10
     docs = spark.createDataFrame([(k, " ".join(t), "en", "a", 1) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(row[0] for row in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()) == sorted(set(group))
+
+
+def test_one_row_of_each_group_of_near_copies(spark):
+    long = " ".join(f"w{k}" for k in range(200))
+    rows = [(None, long, "en", "a", 1), (None, long + " x", "en", "a", 1), (1, "some other text of seven words here", "en", "a", 1)]
+    rows += [rows[2], (7, "q " + long.replace("w", "u"), "en", "a", 1), (7, long.replace("w", "u"), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, "").collect()]
+    assert sorted(r[0] or 0 for r in got) == [0, 1, 7] and set(got) <= set(rows)
