@@ -10,10 +10,10 @@ whose minimiser stands in one document only is in that document only. Pass 1 cou
 window) and sets a bit of a fixed-size bitmap for those that stand in two documents or more. Pass 2 counts the windows whose
 minimiser's bit is set. A bit set by chance costs a row and changes no result.
 
-Pass 2 sends the consecutive windows of one minimiser as one row, dealt by minimiser and sorted by document: a window that a
-smaller document has had before it repeats, and the first one is noted. Minimisers that stand in many documents are salted,
-and a group whose notes outgrow their budget starts new ones; the first windows of such parts meet once more, by hash, in an
-aggregate and a join that Spark can split.
+Pass 2 sends the consecutive windows of one minimiser as one row (a run), dealt by minimiser and sorted by document: a window
+that a smaller document has had before it repeats, and the first one is noted. Minimisers of many runs, be it of many documents
+or of one that repeats a line, are salted by document and position, and a group whose notes outgrow their budget starts new
+ones; the first windows of such parts meet once more, by hash, in an aggregate and a join that Spark can split.
 
 Repeated windows of a document merge into maximal intervals of words to remove.
 """
@@ -84,7 +84,8 @@ RUNS = pa.schema([("seed", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int6
 NOTES = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("h", pa.int64()), ("c", pa.int32())])
 #: A window as it is sent: 96 bits.
 HASH = np.dtype([("h", "<u8"), ("c", "<u4")])
-SALTS = 128
+#: Parts of a salted minimiser, at least; as many as there are shuffle partitions, if those are more.
+LEAST_SALTS = 128
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -92,29 +93,30 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shared_seeds(source: DataFrame, window: int, seed_words: int) -> DataFrame:
-    """seed, n: the minimisers that stand in two documents or more, and in about how many rows."""
+    """seed, n: the minimisers that stand in two documents or more, and how many runs of windows name them."""
 
     def run(batches):
         roll = Rolling(BASE_1)
         for b in batches:
-            ids, seeds = [], []
+            ids, seeds, times = [], [], []
             for i, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 words = words_of(text)
                 if i is None or len(words) < window:
                     continue
                 h = roll(word_values(words), seed_words)
-                mine = np.unique(h[np.unique(minimisers(h, window - seed_words + 1))])
+                mine, n = np.unique(h[np.unique(minimisers(h, window - seed_words + 1))], return_counts=True)
                 seeds.append(mine)
+                times.append(n)
                 ids.append(np.full(len(mine), i, np.int64))
             if seeds:
-                h, i = np.concatenate(seeds), np.concatenate(ids)
+                h, i, n = np.concatenate(seeds), np.concatenate(ids), np.concatenate(times)
                 order = np.lexsort((i, h))
-                h, i = h[order], i[order]
+                h, i, n = h[order], i[order], np.concatenate([[0], np.cumsum(n[order])])
                 first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 last = np.concatenate([first[1:], [len(h)]])
                 for k in range(0, len(first), 10_000):
                     f, z = first[k : k + 10_000], last[k : k + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[f].view(np.int64)), pa.array(i[f]), pa.array(i[z - 1]), pa.array(z - f)], schema=SEEDS)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[f].view(np.int64)), pa.array(i[f]), pa.array(i[z - 1]), pa.array(n[z] - n[f])], schema=SEEDS)
 
     found = source.mapInArrow(run, "seed long, low long, high long, n long")
     return found.groupBy("seed").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low < high").select("seed", "n")
@@ -134,7 +136,15 @@ def _marked(marks: np.ndarray, seeds: np.ndarray, bits: int) -> np.ndarray:
     return (marks[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1)).astype(bool)
 
 
+def _salts(i: int, at: np.ndarray, salts: int) -> np.ndarray:
+    """Parts of runs, dealt by a hash of document and position."""
+    x = (at.astype(U) + U(i & MASK) * U(BASE_1)) * U(BASE_2)
+    return ((x >> U(32)) % U(salts)).astype(np.int64)
+
+
 def _runs(source: DataFrame, marks, window: int, seed_words: int, bits: int) -> DataFrame:
+    salts = max(LEAST_SALTS, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def run(batches):
         one, two, (shared, hot) = Rolling(BASE_1), Rolling(BASE_2), marks.value
 
@@ -157,8 +167,8 @@ def _runs(source: DataFrame, marks, window: int, seed_words: int, bits: int) ->
                     starts = np.flatnonzero(np.concatenate([[True], (np.diff(least[at]) != 0) | (np.diff(at) != 1)]))
                     ends = np.concatenate([starts[1:], [len(at)]])
                     mine = seeds[least[at[starts]]]
-                    salts = np.where(_marked(hot, mine, bits), i % SALTS, -1)
-                    for a, z, s, salt in zip(starts.tolist(), ends.tolist(), mine.view(np.int64).tolist(), salts.tolist(), strict=True):
+                    parts = np.where(_marked(hot, mine, bits), _salts(i, at[starts], salts), -1)
+                    for a, z, s, salt in zip(starts.tolist(), ends.tolist(), mine.view(np.int64).tolist(), parts.tolist(), strict=True):
                         yield s, salt, i, content, int(at[a]), sent[12 * a : 12 * z]
 
         yield from batched(rows(), RUNS, weigh=5)
@@ -280,8 +290,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Words stand between bytes 20 and 09-0D, unchanged; null counts as no words. A word goes if a window of `window` words that
     covers it also starts in a document with a smaller id; windows are judged on the input. Rows without an id lose nothing
-    and cause no loss; rows that repeat an id don't cause each other loss. An empty table gives an empty result. hot_rows: rows
-    from which a minimiser is salted. budget: windows that a group notes before it starts anew. Results depend on neither."""
+    and cause no loss; rows that repeat an id don't cause each other loss. An empty table gives an empty result. hot_rows: runs of
+    windows above which a minimiser is salted. budget: windows that a group notes before it starts anew. Results depend on neither."""
 
     def out(i, n, kept):
         return i, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()

@@ -415,3 +415,19 @@ def test_quality_by_words(spark, folder, rows):
             assert [r.word_perplexity for r in got if r.doc_id == i] == [pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-6)]
     sizes = [words_model.word_model(spark.createDataFrame([(" ".join(f"w{k}" for k in range(n)),)], "text string"))[0].count() for n in (1000, 10_000)]
     assert sizes[1] > 9 * sizes[0]
+
+
+def test_a_line_repeated_within_a_few_documents_is_salted(spark):
+    """Runs of one minimiser are dealt over many groups, whether many documents or one hold them."""
+    from pyspark.sql import functions as F
+
+    line = " ".join(f"l{k}" for k in range(35))
+    rows = [(k, " ".join([line] * 400)) for k in range(3)] + [(3, "w " * 3000), (4, "z " + line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    source = substring_dedup._source(docs, "doc_id", "text")
+    seeds = substring_dedup.shared_seeds(source, 50, 30)
+    assert max(r.n for r in seeds.collect()) > 1000
+    marks = spark.sparkContext.broadcast((substring_dedup.bitmap(seeds, 16), substring_dedup.bitmap(seeds.where("n > 100"), 16)))
+    sizes = [r.n for r in substring_dedup._runs(source, marks, 50, 30, 16).groupBy("seed", "salt").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) > 1000 and max(sizes) < 50
+    same(substring_dedup.dedup_substrings(docs, hot_rows=100), list(brute_windows([(i, t, None) for i, t in rows])))
