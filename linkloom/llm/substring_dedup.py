@@ -10,12 +10,12 @@ whose minimiser stands in one document only is in that document only. Pass 1 cou
 window) and sets a bit of a fixed-size bitmap for those that stand in two documents or more. Pass 2 counts the windows whose
 minimiser's bit is set. A bit set by chance costs a row and changes no result.
 
-Pass 2 sends the consecutive windows of one minimiser as one row (a run), dealt by minimiser and sorted by document: a window
-that a smaller document has had before it repeats, and the first one is noted. Minimisers of many runs, be it of many documents
-or of one that repeats a line, are salted by document and position, and a group whose notes outgrow their budget starts new
-ones; the first windows of such parts meet once more, by hash, in an aggregate and a join that Spark can split.
+Pass 2 sends the consecutive windows of one minimiser as one row (a run), dealt by minimiser; where the windows meet, Spark
+takes the smallest document of each hash. A minimiser of more runs than a share of an average task, be it of many documents or
+of one that repeats a line, is dealt over several groups by document and position, so many that each keeps to that share; there
+are never more such minimisers than a multiple of the tasks. The first windows of their groups meet once more, by hash.
 
-Repeated windows of a document merge into maximal intervals of words to remove.
+Repeated windows are kept as bitmaps of 64 places each and merge into maximal intervals of words to remove.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batched, lean, materialise, signed
@@ -80,12 +80,7 @@ def minimisers(seeds: np.ndarray, span: int) -> np.ndarray:
 
 
 SEEDS = pa.schema([("seed", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64())])
-RUNS = pa.schema([("seed", pa.int64()), ("salt", pa.int32()), ("doc_id", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("windows", pa.binary())])
-NOTES = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("h", pa.int64()), ("c", pa.int32())])
-#: A window as it is sent: 96 bits.
-HASH = np.dtype([("h", "<u8"), ("c", "<u4")])
-#: Parts of a salted minimiser, at least; as many as there are shuffle partitions, if those are more.
-LEAST_SALTS = 128
+RUNS_DDL = "seed long, salt int, doc_id long, content long, at int, h array<long>, c array<int>"
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,122 +126,122 @@ def bitmap(seeds: DataFrame, bits: int) -> np.ndarray:
     return out.view(U)
 
 
+def hot_seeds(seeds: DataFrame, hot_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Minimisers (sorted) that get more runs than hot_share of an average task, and the groups over which each is dealt. At
+    most tasks / hot_share of them can exist."""
+    tasks = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1.0, (seeds.agg(F.sum("n")).first()[0] or 0) * hot_share / tasks)
+    table = seeds.where(F.col("n") > most).select("seed", F.ceil(F.col("n") / F.lit(most)).alias("groups")).toArrow()
+    hot, groups = np.asarray(table.column(0)).astype(np.int64).view(U), np.asarray(table.column(1)).astype(np.int64)
+    order = np.argsort(hot)
+    return hot[order], groups[order]
+
+
 def _marked(marks: np.ndarray, seeds: np.ndarray, bits: int) -> np.ndarray:
     place = seeds >> U(64 - bits)
     return (marks[(place >> U(6)).astype(np.int64)] >> (place & U(63)) & U(1)).astype(bool)
 
 
-def _salts(i: int, at: np.ndarray, salts: int) -> np.ndarray:
-    """Parts of runs, dealt by a hash of document and position."""
+def _salts(seeds: np.ndarray, i: int, at: np.ndarray, hot: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Groups of runs, by a hash of document and position; -1 where the minimiser is not hot."""
+    if not len(hot):
+        return np.full(len(seeds), -1, np.int32)
+    place = np.minimum(np.searchsorted(hot, seeds), len(hot) - 1)
     x = (at.astype(U) + U(i & MASK) * U(BASE_1)) * U(BASE_2)
-    return ((x >> U(32)) % U(salts)).astype(np.int64)
+    return np.where(hot[place] == seeds, ((x >> U(32)) % groups[place].astype(U)).astype(np.int32), -1).astype(np.int32)
 
 
 def _runs(source: DataFrame, marks, window: int, seed_words: int, bits: int) -> DataFrame:
-    salts = max(LEAST_SALTS, int(source.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def run(batches):
-        one, two, (shared, hot) = Rolling(BASE_1), Rolling(BASE_2), marks.value
+    """The windows of marked minimisers, those that follow each other under one minimiser as one row."""
 
-        def rows():
-            for b in batches:
-                for i, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                    words = words_of(text)
-                    if i is None or len(words) < window:
-                        continue
-                    values = word_values(words)
-                    seeds = one(values, seed_words)
-                    least = minimisers(seeds, window - seed_words + 1)
-                    at = np.flatnonzero(_marked(shared, seeds, bits)[least])
-                    if not len(at):
-                        continue
-                    hashes = np.empty(len(at), HASH)
-                    hashes["h"] = one(values, window)[at]
-                    hashes["c"] = two(values, window)[at] >> U(32)
-                    sent, content = hashes.tobytes(), signed(xxhash.xxh64_intdigest(text, 42))
-                    starts = np.flatnonzero(np.concatenate([[True], (np.diff(least[at]) != 0) | (np.diff(at) != 1)]))
-                    ends = np.concatenate([starts[1:], [len(at)]])
-                    mine = seeds[least[at[starts]]]
-                    parts = np.where(_marked(hot, mine, bits), _salts(i, at[starts], salts), -1)
-                    for a, z, s, salt in zip(starts.tolist(), ends.tolist(), mine.view(np.int64).tolist(), parts.tolist(), strict=True):
-                        yield s, salt, i, content, int(at[a]), sent[12 * a : 12 * z]
-
-        yield from batched(rows(), RUNS, weigh=5)
-
-    return source.mapInArrow(run, "seed long, salt int, doc_id long, content long, at int, windows binary")
-
-
-def _notes(runs: DataFrame, budget: int) -> DataFrame:
-    """Intervals [a, b) of repeated windows, without a hash; and, of salted groups and of those that outgrow the budget, the
-    first windows of their parts, with their hash."""
+    def out(parts):
+        seeds, salts, ids, contents, at, sizes, h, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), c.view(np.int32))]
+        return pa.RecordBatch.from_arrays([*map(pa.array, (seeds.view(np.int64), salts, ids, contents, at)), *lists], ["seed", "salt", "doc_id", "content", "at", "h", "c"])
 
     def run(batches):
-        def firsts(seen, again):
-            for key, (i, content, at) in [*seen.items(), *again]:
-                h, c = np.frombuffer(key, HASH)[0]
-                yield i, content, at, at + 1, int(np.uint64(h).view(np.int64)), int(np.uint32(c).view(np.int32))
-
-        def rows():
-            now, seen, again, split = None, {}, [], False  # again: windows that the noted document has once more
-            for b in batches:
-                for seed, salt, i, content, at, sent in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-                    if (seed, salt) != now:
-                        if split:
-                            yield from firsts(seen, again)
-                        now, seen, again, split = (seed, salt), {}, [], salt >= 0
-                    start = None
-                    for k in range(len(sent) // 12):
-                        key = sent[12 * k : 12 * k + 12]
-                        had = seen.get(key)
-                        if had is None:
-                            seen[key] = (i, content, at + k)
-                        elif had[0] == i:
-                            again.append((key, (i, content, at + k)))
-                        if had is not None and had[0] < i:
-                            if start is None:
-                                start = k
-                        elif start is not None:
-                            yield i, content, at + start, at + k, None, None
-                            start = None
-                    if start is not None:
-                        yield i, content, at + start, at + len(sent) // 12, None, None
-                    if len(seen) + len(again) > budget:
-                        yield from firsts(seen, again)
-                        seen, again, split = {}, [], True
-            if split:
-                yield from firsts(seen, again)
-
-        yield from batched(rows(), NOTES)
-
-    dealt = runs.repartition("seed", "salt").sortWithinPartitions("seed", "salt", "doc_id")
-    return dealt.mapInArrow(run, "doc_id long, content long, a int, b int, h long, c int")
-
-
-def repeated_windows(source: DataFrame, window: int, seed_words: int, bits: int, hot_rows: int, budget: int) -> DataFrame:
-    """doc_id, content, a, b: intervals of windows (by their first words) that start in a document with a smaller id as well."""
+        one, two, (shared, hot, groups) = Rolling(BASE_1), Rolling(BASE_2), marks.value
+        parts, held = [], 0
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                words = words_of(text)
+                if i is None or len(words) < window:
+                    continue
+                values = word_values(words)
+                seeds = one(values, seed_words)
+                least = minimisers(seeds, window - seed_words + 1)
+                at = np.flatnonzero(_marked(shared, seeds, bits)[least])
+                if not len(at):
+                    continue
+                starts = np.flatnonzero(np.concatenate([[True], (np.diff(least[at]) != 0) | (np.diff(at) != 1)]))
+                first, mine = at[starts], seeds[least[at[starts]]]
+                alike = lambda x, n=len(starts): np.full(n, x, np.int64)
+                h, c = one(values, window)[at], (two(values, window)[at] >> U(32)).astype(np.uint32)
+                parts.append((mine, _salts(mine, i, first, hot, groups), alike(i), alike(signed(xxhash.xxh64_intdigest(text, 42))), first.astype(np.int32), np.diff(starts, append=len(at)), h, c))
+                held += len(at)
+                if held > 200_000:
+                    yield out(parts)
+                    parts, held = [], 0
+        if parts:
+            yield out(parts)
+
+    return source.mapInArrow(run, RUNS_DDL)
+
+
+def repeated_windows(source: DataFrame, window: int, seed_words: int, bits: int, hot_share: float) -> DataFrame:
+    """doc_id, content, block, bits: windows that start in a document with a smaller id as well, by their first words; bit k
+    of block b is word 64 b + k."""
     seeds = materialise(shared_seeds(source, window, seed_words), "seeds")
-    marks = source.sparkSession.sparkContext.broadcast((bitmap(seeds, bits), bitmap(seeds.where(F.col("n") > hot_rows), bits)))
-    notes = materialise(_notes(_runs(source, marks, window, seed_words, bits), budget), "windows")
-    firsts = notes.where("h is not null")
+    marks = source.sparkSession.sparkContext.broadcast((bitmap(seeds, bits), *hot_seeds(seeds, hot_share)))
+    dealt = _runs(source, marks, window, seed_words, bits).repartition("seed", "salt")
+    each = dealt.select("seed", "salt", "doc_id", "content", "at", F.posexplode(F.arrays_zip("h", "c")).alias("k", "w"))
+    each = each.select("seed", "salt", F.col("w.h").alias("h"), F.col("w.c").alias("c"), "doc_id", "content", (F.col("at") + F.col("k")).alias("at"))
+    counted = each.withColumn("low", F.min("doc_id").over(Window.partitionBy("seed", "salt", "h", "c")))  # where the rows are
+    again = F.col("doc_id") > F.col("low")
+    place = (F.shiftright("at", 6).alias("block"), F.expr("shiftleft(1L, at & 63)").alias("bit"))
+    noted = counted.where(again | (F.col("salt") >= 0)).select("doc_id", "content", *place, F.when(~again, F.col("h")).alias("h"), F.when(~again, F.col("c")).alias("c"))
+    noted = materialise(noted.groupBy("doc_id", "content", "block", "h", "c").agg(F.bit_or("bit").alias("bits")), "windows")
+    firsts = noted.where("h is not null")
     least = materialise(firsts.groupBy("h", "c").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h", "c", "low"), "firsts")
-    # A window noted in one part only is the smallest of its part; its copies there are known, those of other parts are here.
-    late = firsts.join(least, ["h", "c"]).where(F.col("doc_id") > F.col("low")).select("doc_id", "content", "a", "b")
-    return notes.where("h is null").select("doc_id", "content", "a", "b").unionByName(late)
+    # A first window of one group is the smallest there; its copies there are known, those of other groups are here.
+    late = firsts.join(least, ["h", "c"]).where(F.col("doc_id") > F.col("low")).select("doc_id", "content", "block", "bits")
+    return noted.where("h is null").select("doc_id", "content", "block", "bits").unionByName(late)
+
+
+def merged(blocks: np.ndarray, bits: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words and ends of the maximal intervals that windows cover."""
+    order = np.argsort(blocks, kind="stable")
+    blocks = blocks[order]
+    first = np.flatnonzero(np.diff(blocks, prepend=-1))
+    grid = np.unpackbits(np.bitwise_or.reduceat(bits[order], first).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    row, bit = np.nonzero(grid)
+    at = blocks[first][row].astype(np.int64) * 64 + bit
+    cut = np.flatnonzero(np.diff(at) > window)
+    return at[np.concatenate([[0], cut + 1])], at[np.append(cut, len(at) - 1)] + window
+
 
+SPANS = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("firsts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 5_000, budget: int = 400_000) -> DataFrame:
-    """doc_id, content, spans: for each document that loses words, maximal intervals [first word, end) in order."""
-    found = repeated_windows(_source(docs, id_col, text_col), window, seed_words, bits, hot_rows, budget)
-    words = F.struct(F.col("a"), (F.col("b") + (window - 1)).alias("b"))
-    listed = found.groupBy("doc_id", "content").agg(F.sort_array(F.collect_set(words)).alias("all"))
-    none = F.expr("cast(array() as array<struct<a:int,b:int>>)")
 
-    def join(done, x):
-        last = F.element_at(done, -1)
-        wider = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["b"] >= x["a"]), wider).otherwise(F.concat(done, F.array(x)))
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_share: float = 0.25) -> DataFrame:
+    """doc_id, content, firsts, ends: for each document that loses words, maximal intervals [first word, end) in order."""
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                ends, flat = b.column(2).offsets.to_numpy(), b.column(2).values
+                blocks, marks = (np.asarray(flat.field(k)) for k in (0, 1))
+                for k, (i, content) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                    at = slice(ends[k], ends[k + 1])
+                    first, end = merged(blocks[at], marks[at], window)
+                    yield i, content, first.tolist(), end.tolist()
+
+        yield from batched(rows(), SPANS, weigh=2)
 
-    return listed.select("doc_id", "content", F.aggregate("all", none, join).alias("spans"))
+    found = repeated_windows(_source(docs, id_col, text_col), window, seed_words, bits, hot_share)
+    listed = found.groupBy("doc_id", "content").agg(F.collect_list(F.struct("block", "bits")).alias("places"))
+    return listed.mapInArrow(run, "doc_id long, content long, firsts array<int>, ends array<int>")
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -256,9 +251,8 @@ TEXTS = pa.schema([("doc_id", pa.int64()), ("kept", pa.string())])
 def _joined(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     spans = materialise(removals(docs, id_col, text_col, **options), "removals")
     source = _source(docs, id_col, text_col).withColumn("content", F.xxhash64("text"))
-    cut = spans.select("doc_id", "content", F.transform("spans", lambda s: s["a"]).alias("firsts"), F.transform("spans", lambda s: s["b"]).alias("ends"))
     # The table of removals grows with the corpus: joined by a shuffle at every size.
-    return source.join(cut.hint("merge"), ["doc_id", "content"], "left").select("doc_id", "text", "firsts", "ends")
+    return source.join(spans.hint("merge"), ["doc_id", "content"], "left").select("doc_id", "text", "firsts", "ends")
 
 
 def _kept_words(text: bytes, firsts, ends) -> tuple[int, list[bytes]]:
@@ -285,24 +279,24 @@ def _each(out, schema, weigh=None):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 5_000, budget: int = 400_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_share: float = 0.25) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space).
 
     Words stand between bytes 20 and 09-0D, unchanged; null counts as no words. A word goes if a window of `window` words that
     covers it also starts in a document with a smaller id; windows are judged on the input. Rows without an id lose nothing
-    and cause no loss; rows that repeat an id don't cause each other loss. An empty table gives an empty result. hot_rows: runs of
-    windows above which a minimiser is salted. budget: windows that a group notes before it starts anew. Results depend on neither."""
+    and cause no loss; rows that repeat an id don't cause each other loss. An empty table gives an empty result. hot_share: the
+    share of an average task's runs above which a minimiser is dealt over several groups; results don't depend on it."""
 
     def out(i, n, kept):
         return i, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
-    return _joined(docs, id_col, text_col, window=window, seed_words=seed_words, bits=bits, hot_rows=hot_rows, budget=budget).mapInArrow(_each(out, KEPT), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _joined(docs, id_col, text_col, window=window, seed_words=seed_words, bits=bits, hot_share=hot_share).mapInArrow(_each(out, KEPT), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_rows: int = 5_000, budget: int = 400_000) -> DataFrame:
+def kept_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, seed_words: int = 30, bits: int = 26, hot_share: float = 0.25) -> DataFrame:
     """doc_id and the kept words of every row joined by one space."""
 
     def out(i, n, kept):
         return i, b" ".join(kept).decode("utf-8", "replace")
 
-    return _joined(docs, id_col, text_col, window=window, seed_words=seed_words, bits=bits, hot_rows=hot_rows, budget=budget).mapInArrow(_each(out, TEXTS, 1), "doc_id long, kept string")
+    return _joined(docs, id_col, text_col, window=window, seed_words=seed_words, bits=bits, hot_share=hot_share).mapInArrow(_each(out, TEXTS, 1), "doc_id long, kept string")

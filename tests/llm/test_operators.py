@@ -305,9 +305,9 @@ def test_substring_dedup(docs, rows):
     assert sum(e[2] for e in expected) > 100
     same(substring_dedup.dedup_substrings(docs), expected)
     same(substring_dedup.dedup_substrings(docs, bits=8), expected)  # a full bitmap tells nothing apart and changes nothing
-    same(substring_dedup.dedup_substrings(docs, seed_words=10, hot_rows=1, budget=20), expected)  # salted groups and parts of groups meet again
-    same(substring_dedup.dedup_substrings(docs, seed_words=50, hot_rows=0, budget=1), expected)
-    same(substring_dedup.dedup_substrings(docs, window=3, seed_words=3, budget=2), list(brute_windows(rows, 3)))
+    same(substring_dedup.dedup_substrings(docs, seed_words=10, hot_share=0.001), expected)  # the groups of salted minimisers meet again
+    same(substring_dedup.dedup_substrings(docs, seed_words=50, hot_share=0.01), expected)
+    same(substring_dedup.dedup_substrings(docs, window=3, seed_words=3), list(brute_windows(rows, 3)))
 
 
 def test_language_id(spark, docs, rows):
@@ -427,7 +427,7 @@ def test_a_line_repeated_within_a_few_documents_is_salted(spark):
     source = substring_dedup._source(docs, "doc_id", "text")
     seeds = substring_dedup.shared_seeds(source, 50, 30)
     assert max(r.n for r in seeds.collect()) > 1000
-    marks = spark.sparkContext.broadcast((substring_dedup.bitmap(seeds, 16), substring_dedup.bitmap(seeds.where("n > 100"), 16)))
+    marks = spark.sparkContext.broadcast((substring_dedup.bitmap(seeds, 16), *substring_dedup.hot_seeds(seeds, 0.02)))
     sizes = [r.n for r in substring_dedup._runs(source, marks, 50, 30, 16).groupBy("seed", "salt").agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) > 1000 and max(sizes) < 50
-    same(substring_dedup.dedup_substrings(docs, hot_rows=100), list(brute_windows([(i, t, None) for i, t in rows])))
+    same(substring_dedup.dedup_substrings(docs, hot_share=0.02), list(brute_windows([(i, t, None) for i, t in rows])))
