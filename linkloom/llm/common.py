@@ -24,6 +24,8 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("a cluster must name its shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir("file:///tmp/checkpoints/linkloom")
     return sc.getCheckpointDir().rstrip("/")
 
@@ -41,14 +43,26 @@ def drop_scratch(*frames: DataFrame) -> None:
     """Delete tables that materialise() wrote and that nothing reads any more."""
     for df in frames:
         jvm = df.sparkSession._jvm
-        for file in df.inputFiles():
+        for file in df.inputFiles()[:1]:
             path = jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def lean(df: DataFrame) -> DataFrame:
     """df, in a session that sends texts to Python in batches of at most 8 MB: rows can be long, and a task holds a batch
-    several times over."""
+    several times over. These two settings stay as they are set here, since plans run after this returns."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return df

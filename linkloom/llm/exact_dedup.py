@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, lean, materialise, signed
+from .common import as_bytes, batched, fresh, lean, materialise, signed
 
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = b"abcdefghijklmnopqrstuvwxyz"
@@ -195,10 +195,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows of docs, all columns, that exact_dedup() keeps. Rows that repeat both id and text stay together."""
-    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct()
+    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select("doc_id", F.unhex("text_sha256")).distinct()
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER.decode(), LOWER.decode())
-    rows = docs.withColumn("__sha", F.unhex(F.sha2(text.cast("binary"), 256)))
-    return rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__sha"] == kept["__digest"]), "left_semi").drop("__sha")
+    key, who, digest = fresh(docs, "key", "who", "digest")
+    rows = docs.withColumn(key, F.unhex(F.sha2(text.cast("binary"), 256)))
+    return rows.join(kept.toDF(who, digest), F.col(id_col).eqNullSafe(F.col(who)) & (F.col(key) == F.col(digest)), "left_semi").drop(key)
 
 
 SQL = """

@@ -140,16 +140,25 @@ def train(sample: list[tuple[str, str]], bits: int = 16, dim: int = 12, epochs:
     return LanguageModel(labels, logits, b.astype(np.float64), temperature, level, shortest, longest)
 
 
-def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 2000) -> list[tuple[str, str]]:
-    """At most `most` labelled (text, label) pairs of documents whose crc32(id as text) mod 3 is not 1, those with the lowest
-    digest of the id; the same for any partitioning. The lowest digests are found first, without texts."""
-    digest = F.xxhash64(F.lit("langid"), F.col(id_col))
-    learn = docs.where(F.col(lang_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1)).withColumn("__digest", digest)
-    last = learn.select("__digest").orderBy("__digest").limit(most).agg(F.max("__digest")).first()[0]
-    if last is None:
+def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 2000, most_bytes: int = 64 << 20) -> list[tuple[str, str]]:
+    """At most `most` labelled (text, label) pairs of documents whose crc32(id as text) mod 3 is not 1, and as many whole texts
+    as fit into most_bytes: those with the lowest digest of the id (ties: of text, then label); the same for any
+    partitioning. What is taken is settled first, without texts."""
+    learn = docs.where(F.col(lang_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    learn = learn.select(F.struct(F.xxhash64(F.lit("langid"), F.col(id_col)).alias("a"), F.xxhash64(text).alias("b"), F.col(lang_col).alias("y")).alias("key"), text.alias("x"))
+    n, size = 0, 0
+    firsts = learn.select("key", F.octet_length("x").alias("size")).orderBy("key").limit(most).collect()
+    for r in firsts:
+        size += r["size"]
+        if size > most_bytes:
+            break
+        n += 1
+    if not n:
         return []
-    rows = learn.where(F.col("__digest") <= last).select("__digest", F.col(lang_col).alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("x")).collect()
-    return [(r.x, r.y) for r in sorted(rows, key=lambda r: (r["__digest"], r.y, r.x))[:most]]
+    a, b, y = firsts[n - 1]["key"]
+    last = F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(y).alias("y"))
+    return [(r.x, r["key"]["y"]) for r in learn.where(F.col("key") <= last).orderBy("key").limit(n).collect()]
 
 
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialise
+from .common import fresh, lean, materialise
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: (time, weight) knots of a source's schedule, by the source's place in the cycle of weights.
@@ -105,11 +105,13 @@ def read_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document of which the mix takes no word goes, unless it has none. Rows that repeat both id and text are read alike."""
     rows = assign(docs, id_col, text_col, source_col, **options)
     empty = F.array(F.lit(1.0))
-    rows = rows.select("doc_id", "content", F.when(F.col("size") == 0, empty).otherwise(F.filter("positions", lambda p: p.isNotNull())).alias("__at")).where(F.size("__at") > 0)
-    plan = rows.groupBy(F.col("doc_id").alias("__id"), F.col("content").alias("__content")).agg(F.max("__at").alias("__at"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    read = keyed.join(plan, keyed[id_col].eqNullSafe(plan["__id"]) & (keyed["__key"] == plan["__content"]))
-    return read.select(*docs.columns, F.explode("__at").alias("__position")).orderBy("__position", id_col).drop("__position")
+    rows = rows.select("doc_id", "content", F.when(F.col("size") == 0, empty).otherwise(F.filter("positions", lambda p: p.isNotNull())).alias("at")).where(F.size("at") > 0)
+    plan = rows.groupBy("doc_id", "content").agg(F.max("at").alias("at"))
+    key, position, who, content, at = fresh(docs, "key", "position", "who", "of", "at")
+    plan = plan.toDF(who, content, at)
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    read = keyed.join(plan, F.col(id_col).eqNullSafe(F.col(who)) & (F.col(key) == F.col(content)))
+    return read.select(*docs.columns, F.explode(at).alias(position)).orderBy(position, id_col).drop(position)
 
 
 SQL = r"""

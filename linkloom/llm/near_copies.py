@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, lean, materialise, signed
+from .common import as_bytes, batched, fresh, lean, materialise, signed
 from .simhash import components, near_duplicates
 
 BANDS, ROWS = 20, 4
@@ -119,6 +119,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     nodes = simhash.groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     nodes = materialise(nodes, "copy-nodes")
     best = nodes.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("best"))
-    kept = best.select(F.col("best.low").alias("__id"), F.col("best.node").alias("__node"))
-    rows = docs.withColumn("__content", content)
-    return rows.join(kept, (rows["__content"] == kept["__node"]) & rows[id_col].cast("long").eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["__content"]).drop("__content")
+    key, who, node = fresh(docs, "key", "who", "node")
+    kept = best.select(F.col("best.low").alias(who), F.col("best.node").alias(node))
+    rows = docs.withColumn(key, content)
+    return rows.join(kept, (F.col(key) == F.col(node)) & F.col(id_col).cast("long").eqNullSafe(F.col(who)), "left_semi").dropDuplicates([key]).drop(key)

@@ -6,7 +6,8 @@ copied example, one that stays with one owner looks like a live credential. Coun
 then (hash, owner), then hash, each with a map-side partial aggregate, so a value that a third of all rows carry costs each
 map task one row. Texts are read once; what is joined afterwards is candidates only.
 
-Positions come from splitting a text at the matches of a pattern: the pieces and the matches, in turn, are the text.
+Positions come from splitting a text at the matches of a pattern: the pieces and the matches, in turn, are the text. Matches are
+placed in blocks, so that a text of many matches costs in proportion to them.
 """
 
 from __future__ import annotations
@@ -27,13 +28,22 @@ KINDS = ("assign", "access", "hex", "live", "example")
 QUICK = "(?:[Pp][Aa][Ss][Ss][Ww]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]|AKIA|[0-9a-f]{24})"
 
 
+#: Matches that one fold places; a fold copies its list at every step.
+BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _spans(text: Column, pattern: str, kind: int) -> Column:
     """(start, end, kind, lead, value) of the pattern's leftmost matches that don't overlap; lead: characters before the value."""
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     pieces = F.split(text, pattern, -1)
-    sizes = F.transform(found, lambda m, k: F.struct(F.length(F.get(pieces, k)).alias("gap"), F.length(m).alias("n"), m.alias("m")))
+    gaps = F.transform(pieces, F.length)
+    sizes = _let(gaps, lambda g: F.transform(found, lambda m, k: F.struct(F.get(g, k).alias("gap"), F.length(m).alias("n"), m.alias("m"))))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:int,lead:int,value:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc, x):
         a = acc["at"] + x["gap"]
@@ -41,7 +51,18 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
         one = F.struct(a.alias("start"), (a + x["n"]).alias("end"), F.lit(kind).alias("kind"), lead.alias("lead"), F.substr(x["m"], lead + 1).alias("value"))
         return F.struct((a + x["n"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    out = F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    def cut(s):
+        return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(s) - 1, F.lit(0)) / BLOCK).cast("int")), lambda b: F.slice(s, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def starts(blocks):
+        length = lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["n"])
+        return F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + length(b))))
+
+    def placed(blocks, at):
+        inside = lambda b, k: F.aggregate(b, F.struct(F.get(at, k).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.transform(blocks, inside))
+
+    out = _let(sizes, lambda s: _let(cut(s), lambda blocks: _let(starts(blocks), lambda at: placed(blocks, at))))
     return F.filter(out, lambda s: F.length(s["value"]) >= LEAST_ASSIGNED) if kind == 0 else out
 
 
@@ -81,7 +102,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wide = materialise(counts, "secret-owners")
     having = found.where(F.size("spans") > 0).select("doc_id", "content", F.explode("spans").alias("s")).select("doc_id", "content", "s", F.col("s.hash").alias("value_hash"))
     told = having.join(wide, having["value_hash"] == wide["hash"], "left").select(F.col("doc_id").alias("id"), F.col("content").alias("of"), F.struct(F.col("s.start"), F.col("s.kind"), F.col("s.end")).alias("base"), F.struct((F.col("s.start") + F.col("s.lead")).alias("start"), F.when(F.col("hash").isNull(), 3).otherwise(4).alias("kind"), F.col("s.end").alias("end")).alias("own"))
-    lists = told.groupBy("id", "of").agg(F.array_sort(F.array_union(F.collect_set("base"), F.collect_set("own"))).alias("all"))
+    lists = told.groupBy("id", "of").agg(F.array_sort(F.concat(F.collect_set("base"), F.collect_set("own"))).alias("all"))
     kinds = F.transform("spans", lambda s: s["kind"])
     n = lambda arr, k: F.size(F.filter(arr, lambda x: x == k)).cast("long")
     marked = F.coalesce(F.transform("all", lambda s: s["kind"]), F.expr("cast(array() as array<int>)"))

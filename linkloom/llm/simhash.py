@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, lean, materialise
+from .common import as_bytes, batched, drop_scratch, fresh, lean, materialise
 
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 GOLAY = 0b101011100011  # generator polynomial of the [23, 12] code
@@ -144,15 +144,18 @@ def components(pairs: DataFrame, tag: str = "components") -> DataFrame:
         while True:
             to = up.select(F.col("node").alias("root"), F.col("root").alias("end"))
             jumped = materialise(up.join(to, "root").select("node", F.col("end").alias("root"), (F.col("end") != F.col("root")).alias("moved")), f"{tag}-jump")
+            drop_scratch(up)
             up = jumped.select("node", "root")
             if jumped.where("moved").isEmpty():
                 break
+        before = found
         found = up if found is None else materialise(
             found.join(up.select(F.col("node").alias("root"), F.col("root").alias("end")), "root", "left").select("node", F.coalesce("end", "root").alias("root")), f"{tag}-found"
         )
         a, b = up.select(F.col("node").alias("a"), F.col("root").alias("ra")), up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         ends = rest.join(a, "a").join(b, "b").where("ra <> rb")
-        rest = materialise(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{tag}-links")
+        used, rest = rest, materialise(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{tag}-links")
+        drop_scratch(used, *([before, up] if before is not None else []))  # what later rounds don't read
     return found if found is not None else rest.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -178,6 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that name their component: of each group of near copies, the smallest id. Rows without
     an id stay only if their whole group has none; rows that repeat both id and text stay together."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), "content").distinct()
-    rows = docs.withColumn("__content", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return rows.join(kept, rows[id_col].eqNullSafe(kept["__id"]) & (rows["__content"] == kept["content"]), "left_semi").drop("__content")
+    kept = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "content").distinct()
+    key, who, content = fresh(docs, "key", "who", "of")
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return rows.join(kept.toDF(who, content), F.col(id_col).eqNullSafe(F.col(who)) & (F.col(key) == F.col(content)), "left_semi").drop(key)

@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, fp string, content string, digest string, size string, bucket string, target string, hash string, spans string, h string, node string, key string, kept string"
-EXTRA = ("x",) * 13
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, fp string, content string, digest string, size string, bucket string, target string, hash string, spans string, h string, node string, key string, kept string, who string, `of` string, at string, `position` string"
+EXTRA = ("x",) * 17
 
 
 def words(seed, n, letters="abcdefgh"):

@@ -94,6 +94,22 @@ def test_secret_spans(spark):
         assert set(base.split(",")) - {""} <= set(r.spans.split(","))
 
 
+def test_places_of_many_secrets_in_one_text(spark):
+    """Several blocks of matches; twice the matches take about twice the time."""
+    import time
+
+    took = []
+    for n in (1, 8000, 16000):
+        parts = [f"é{k:024x}" for k in range(n)]
+        text = " ".join(parts)
+        df = spark.createDataFrame([(1, text, "o")], "doc_id long, text string, source string")
+        t = time.perf_counter()
+        (r,) = secrets.scan_secrets(df).collect()
+        took.append(time.perf_counter() - t)
+        assert r.n_hex == n and r.base_sha256 == sha(",".join(f"hex:{26 * k + 1}:{26 * k + 25}" for k in range(n)))
+    assert took[2] < 2.5 * took[1] + 2
+
+
 def test_secrets_of_many_owners_are_examples(spark):
     text = "token = abcdefgh12"
     df = spark.createDataFrame([(k, text, f"o{k}") for k in range(2)] + [(9, "token = only4one", "o1")], "doc_id long, text string, source string")
@@ -327,6 +343,15 @@ def test_language_id(spark, docs, rows):
     assert all(r.lang_pred == "und" for r in langid.identify(docs, langid.train([])).collect())
 
 
+def test_the_labelled_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(0, "x" * 50, "en")] * 300 + [(k, "y" * k, "de") for k in range(1, 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.labelled_sample(df, most=7)) == 7
+    few = langid.labelled_sample(df, most_bytes=500)
+    assert 0 < sum(len(t) for t, _ in few) <= 500
+    assert few == langid.labelled_sample(df.repartition(5), most_bytes=500)
+
+
 def test_language_id_learns():
     words = {"xx": "aba bab abba baab", "yy": "cdc dcd cddc dccd", "zz": "efe fef effe feef"}
     import random
