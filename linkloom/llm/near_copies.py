@@ -2,8 +2,11 @@
 joined with SimHash's groups.
 
 Candidates come from 20 bands of 4 minimum hashes: a pair of similarity s meets with probability 1 - (1 - s^4)^20, 0.99997 at
-0.8. Each is verified on the shingles of the whole texts. A band's texts are first held against the smallest of them; only
-pairs that are still in different components are then compared with each other, so a large group isn't squared.
+0.8. Each is verified on the shingles of the whole texts. A band's texts are first held against the smallest of them, so a group
+of copies costs as many pairs as it has texts. What is left are texts of different components that share a band, as those with
+a common passage do: their signatures (a byte of each minimum) are compared in blocks where they meet, and only pairs that
+agree in as many places as a similar pair does but three times in 100,000 are sent on to be verified; first each text's few best, which
+joins most of what belongs together, then those that are still in different components.
 """
 
 from __future__ import annotations
@@ -29,19 +32,23 @@ def shingles(text: bytes, size: int = 5) -> np.ndarray:
     return np.unique(np.array([h(b" ".join(words[k : k + size]), 42) for k in range(max(1, len(words) - size + 1))] if words else [], np.uint64))
 
 
-def band_keys(s: np.ndarray) -> list[int]:
-    """One key for each band; texts without words meet in one."""
-    if not len(s):
-        return [0]
+def minima(s: np.ndarray) -> np.ndarray:
+    """The least value of a set of hashes under each of BANDS * ROWS linear maps."""
     least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for k in range(0, len(s), 2000):
-        x = s[k : k + 2000, None] * FACTORS + SHIFTS
-        x ^= x >> np.uint64(32)
-        least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=0))
+    for k in range(0, len(s), 500):
+        np.minimum(least, (s[k : k + 500, None] * FACTORS + SHIFTS).min(axis=0), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> list[int]:
+    """One key for each band."""
     return [signed(xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)) for k in range(BANDS)]
 
 
-MET = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+MET = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("keys", pa.list_(pa.int64()))])
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Texts of one band that are compared in one place.
+BLOCK = 2048
 SETS = pa.schema([("node", pa.int64()), ("held", pa.binary())])
 
 
@@ -50,12 +57,67 @@ def _bands(texts: DataFrame, size: int) -> DataFrame:
         def rows():
             for b in batches:
                 for node, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                    for key in band_keys(shingles(text, size)):
-                        yield key, node
+                    s = shingles(text, size)
+                    least = minima(s)
+                    # Texts without words meet in one band.
+                    yield node, (least >> np.uint64(16)).astype(np.uint8).tobytes(), band_keys(least) if len(s) else [0]
 
         yield from batched(rows(), MET)
 
-    return texts.mapInArrow(run, "key long, node long").distinct()
+    return texts.mapInArrow(run, "node long, signature binary, keys array<long>")
+
+
+def _alike(mixed: DataFrame, least: float, best: int | None = None) -> DataFrame:
+    """Pairs a < b of different components (key, node, root, signature) that share a key and whose signatures agree in as many
+    places as a similar pair does but three times in 100,000: four standard deviations below the mean. best: only so many of each
+    text in a block, those that agree most."""
+    places = BANDS * ROWS
+    agree = int(least * places - 4 * (places * least * (1 - least)) ** 0.5)
+
+    def run(batches):
+        def compared(held):
+            node, root, signature, side = (np.concatenate(x) for x in zip(*held, strict=True))
+            i, j = (np.flatnonzero(side <= 0), np.flatnonzero(side != 0)) if (side != 0).any() else (np.arange(len(node)),) * 2
+            for a in range(0, len(i), 64):
+                left = i[a : a + 64]
+                same = (signature[left][:, None] == signature[j][None]).sum(2, dtype=np.uint8)
+                same[root[left][:, None] == root[j][None]] = 0
+                if best is not None and len(j) > best:
+                    few = np.argpartition(same, len(j) - best, axis=1)[:, -best:]
+                    x, y = np.nonzero(np.take_along_axis(same, few, 1) >= agree)
+                    y = few[x, y]
+                else:
+                    x, y = np.nonzero(same >= agree)
+                for p, q in zip(node[left[x]].tolist(), node[j[y]].tolist(), strict=True):
+                    if p != q:
+                        yield min(p, q), max(p, q)
+
+        def rows():
+            now, held = None, []
+            for b in batches:
+                group = np.stack([np.asarray(b.column(k)) for k in range(3)], 1) if b.num_rows else np.zeros((0, 3), np.int64)
+                cuts = np.flatnonzero((np.diff(group, axis=0) != 0).any(1)) + 1
+                signature = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, places)
+                for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
+                    if a == z:
+                        continue
+                    if now != tuple(group[a]):
+                        if held:
+                            yield from compared(held)
+                        now, held = tuple(group[a]), []
+                    held.append((np.asarray(b.column(3))[a:z], np.asarray(b.column(4))[a:z], signature[a:z], np.asarray(b.column(6))[a:z]))
+            if held:
+                yield from compared(held)
+
+        yield from batched(rows(), PAIRS)
+
+    # Bands of more texts than a block holds are dealt as pairs of blocks (i, j); side tells which of the two a row is of.
+    blocks = mixed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    dealt = mixed.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    dealt = dealt.select("key", low.alias("i"), high.alias("j"), "node", "root", "signature", F.when(low == high, 0).when(F.col("mine") == low, -1).otherwise(1).alias("side"))
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -88,19 +150,26 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
 
 def links(texts: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """Links a < b of nodes (node, text) whose components are those of all pairs of that Jaccard similarity that meet."""
-    met = materialise(_bands(texts, size), "copy-bands")
+    every = materialise(_bands(texts, size), "copy-bands")
+    met = every.select(F.explode("keys").alias("key"), "node").distinct()
+    signatures = every.groupBy("node").agg(F.min("signature").alias("signature"))
+
+    def apart(found: DataFrame, tag: str) -> DataFrame:
+        """Texts, by band, that share a band with another component's."""
+        root = components(found, tag)
+        named = shared.select("key", "node").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        return materialise(named.join(mixed, "key", "left_semi").join(signatures, "node"), "copy-mixed")
+
     first = met.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
     shared = materialise(met.join(first, "key"), "copy-shared")
     star = _similar(shared.where("a < node").select("a", F.col("node").alias("b")).distinct(), texts, size, least)
-    root = components(star, "copy-stars")
-    named = shared.select("key", "node").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    named = materialise(named.join(mixed, "key", "left_semi"), "copy-mixed")
-    x, y = named.toDF("key", "a", "ra"), named.toDF("key", "b", "rb")
-    rest = x.join(y, "key").where("ra <> rb and a < b").select("a", "b").distinct()
-    # Pairs that were held against each other already failed.
-    rest = rest.join(shared.select("a", F.col("node").alias("b")), ["a", "b"], "left_anti")
-    return star.union(_similar(rest, texts, size, least))
+    held = shared.select("a", F.col("node").alias("b"))
+    near = materialise(_alike(apart(star, "copy-stars"), least, best=3).join(held, ["a", "b"], "left_anti"), "copy-best")
+    found = star.union(_similar(near, texts, size, least))
+    # Pairs that were held against each other already failed, or are in one component.
+    rest = _alike(apart(found, "copy-near"), least).join(held.union(near), ["a", "b"], "left_anti")
+    return found.union(_similar(rest, texts, size, least))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
