@@ -4,9 +4,9 @@ joined with SimHash's groups.
 Candidates come from 20 bands of 4 minimum hashes: a pair of similarity s meets with probability 1 - (1 - s^4)^20, 0.99997 at
 0.8. Each is verified on the shingles of the whole texts. A band's texts are first held against the smallest of them, so a group
 of copies costs as many pairs as it has texts. What is left are texts of different components that share a band, as those with
-a common passage do: their signatures (a byte of each minimum) are compared in blocks where they meet, and only pairs that
-agree in as many places as a similar pair does but three times in 100,000 are sent on to be verified; first each text's few best, which
-joins most of what belongs together, then those that are still in different components.
+a common passage do: they are compared where they meet, in blocks, each pair in the first band that it shares, by signatures (a
+byte of each minimum; a similar pair falls below the level three times in 100,000) and then by shingles; a block hands on only
+the links that join components. So the links that are written grow with the texts, not with the pairs.
 """
 
 from __future__ import annotations
@@ -45,10 +45,11 @@ def band_keys(least: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k)) for k in range(BANDS)]
 
 
-MET = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("keys", pa.list_(pa.int64()))])
+MET = pa.schema([("node", pa.int64()), ("keys", pa.list_(pa.int64()))])
+SHORT = pa.schema([("node", pa.int64()), ("signature", pa.binary()), ("keys", pa.binary()), ("held", pa.binary())])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Texts of one band that are compared in one place.
-BLOCK = 2048
+BLOCK = 1024
 SETS = pa.schema([("node", pa.int64()), ("held", pa.binary())])
 
 
@@ -58,56 +59,68 @@ def _bands(texts: DataFrame, size: int) -> DataFrame:
             for b in batches:
                 for node, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                     s = shingles(text, size)
-                    least = minima(s)
-                    # Texts without words meet in one band.
-                    yield node, (least >> np.uint64(16)).astype(np.uint8).tobytes(), band_keys(least) if len(s) else [0]
+                    yield node, band_keys(minima(s)) if len(s) else [0] * BANDS  # texts without words meet
 
         yield from batched(rows(), MET)
 
-    return texts.mapInArrow(run, "node long, signature binary, keys array<long>")
-
-
-def _alike(mixed: DataFrame, least: float, best: int | None = None) -> DataFrame:
-    """Pairs a < b of different components (key, node, root, signature) that share a key and whose signatures agree in as many
-    places as a similar pair does but three times in 100,000: four standard deviations below the mean. best: only so many of each
-    text in a block, those that agree most."""
+    return texts.mapInArrow(run, "node long, keys array<long>")
+
+
+def _spanning(held: list[tuple], least: float, agree: int):
+    """Links (a, b) of similar texts in a block that join components: (node, root, signature, keys, side, shingles) in parts.
+    side: 0 in a block that is held against itself, else -1 or 1, and only texts of different sides are compared."""
+    node, root, signature, keys, side = (np.concatenate([x[k] for x in held]) for k in range(5))
+    sets = [np.frombuffer(x, np.uint32) for part in held for x in part[5]]
+    band, up = held[0][6], {}
+
+    def find(r):
+        while up.get(r, r) != r:
+            up[r] = r = up.get(up[r], up[r])
+        return r
+
+    left = np.flatnonzero(side <= 0)
+    right = left if not side.any() else np.flatnonzero(side > 0)
+    for i in left.tolist():
+        j = right[right > i] if right is left else right
+        ok = ((signature[j] == signature[i]).sum(1) >= agree) & (root[j] != root[i]) & ~(keys[j, :band] == keys[i, :band]).any(1)
+        for k in j[ok].tolist():
+            p, q = find(int(root[i])), find(int(root[k]))
+            if p == q:
+                continue
+            x, y = sets[i], sets[k]
+            if min(len(x), len(y)) < least * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both >= least * (len(x) + len(y) - both):
+                up[max(p, q)] = min(p, q)
+                yield min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k]))
+
+
+def _joining(mixed: DataFrame, least: float) -> DataFrame:
+    """Links a < b that join the components (key, band, node, root, signature, keys, held) of similar texts that share a key."""
     places = BANDS * ROWS
     agree = int(least * places - 4 * (places * least * (1 - least)) ** 0.5)
 
     def run(batches):
-        def compared(held):
-            node, root, signature, side = (np.concatenate(x) for x in zip(*held, strict=True))
-            i, j = (np.flatnonzero(side <= 0), np.flatnonzero(side != 0)) if (side != 0).any() else (np.arange(len(node)),) * 2
-            for a in range(0, len(i), 64):
-                left = i[a : a + 64]
-                same = (signature[left][:, None] == signature[j][None]).sum(2, dtype=np.uint8)
-                same[root[left][:, None] == root[j][None]] = 0
-                if best is not None and len(j) > best:
-                    few = np.argpartition(same, len(j) - best, axis=1)[:, -best:]
-                    x, y = np.nonzero(np.take_along_axis(same, few, 1) >= agree)
-                    y = few[x, y]
-                else:
-                    x, y = np.nonzero(same >= agree)
-                for p, q in zip(node[left[x]].tolist(), node[j[y]].tolist(), strict=True):
-                    if p != q:
-                        yield min(p, q), max(p, q)
-
         def rows():
             now, held = None, []
             for b in batches:
-                group = np.stack([np.asarray(b.column(k)) for k in range(3)], 1) if b.num_rows else np.zeros((0, 3), np.int64)
-                cuts = np.flatnonzero((np.diff(group, axis=0) != 0).any(1)) + 1
-                signature = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, places)
-                for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
-                    if a == z:
-                        continue
+                if not b.num_rows:
+                    continue
+                group = np.stack([np.asarray(b.column(k)) for k in range(3)], 1)
+                band, node, root, side = (np.asarray(b.column(k)) for k in range(3, 7))
+                signature = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(-1, places)
+                keys = np.frombuffer(b"".join(b.column(8).to_pylist()), np.int64).reshape(-1, BANDS)
+                sets = b.column(9).to_pylist()
+                cuts = (np.flatnonzero((np.diff(group, axis=0) != 0).any(1)) + 1).tolist()
+                for a, z in zip([0, *cuts], [*cuts, len(group)], strict=True):
                     if now != tuple(group[a]):
                         if held:
-                            yield from compared(held)
+                            yield from _spanning(held, least, agree)
                         now, held = tuple(group[a]), []
-                    held.append((np.asarray(b.column(3))[a:z], np.asarray(b.column(4))[a:z], signature[a:z], np.asarray(b.column(6))[a:z]))
+                    held.append((node[a:z], root[a:z], signature[a:z], keys[a:z], side[a:z], sets[a:z], int(band[a])))
             if held:
-                yield from compared(held)
+                yield from _spanning(held, least, agree)
 
         yield from batched(rows(), PAIRS)
 
@@ -116,7 +129,8 @@ def _alike(mixed: DataFrame, least: float, best: int | None = None) -> DataFrame
     dealt = mixed.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    dealt = dealt.select("key", low.alias("i"), high.alias("j"), "node", "root", "signature", F.when(low == high, 0).when(F.col("mine") == low, -1).otherwise(1).alias("side"))
+    side = F.when(low == high, 0).when(F.col("mine") == low, -1).otherwise(1).cast("int")
+    dealt = dealt.select("key", low.alias("i"), high.alias("j"), "band", "node", "root", side.alias("side"), "signature", "keys", "held")
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -148,28 +162,38 @@ def _similar(pairs: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     return materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long"), "copy-links")
 
 
+def _shortened(texts: DataFrame, size: int) -> DataFrame:
+    """node, signature, keys (of all bands, packed) and 32 bits of each shingle's hash, in order."""
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                for node, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                    s = shingles(text, size)
+                    least = minima(s)
+                    keys = band_keys(least) if len(s) else [0] * BANDS
+                    yield node, (least >> np.uint64(16)).astype(np.uint8).tobytes(), np.array(keys, np.int64).tobytes(), np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+        yield from batched(rows(), SHORT, weigh=3)
+
+    return texts.mapInArrow(run, "node long, signature binary, keys binary, held binary")
+
+
 def links(texts: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """Links a < b of nodes (node, text) whose components are those of all pairs of that Jaccard similarity that meet."""
     every = materialise(_bands(texts, size), "copy-bands")
-    met = every.select(F.explode("keys").alias("key"), "node").distinct()
-    signatures = every.groupBy("node").agg(F.min("signature").alias("signature"))
-
-    def apart(found: DataFrame, tag: str) -> DataFrame:
-        """Texts, by band, that share a band with another component's."""
-        root = components(found, tag)
-        named = shared.select("key", "node").join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        return materialise(named.join(mixed, "key", "left_semi").join(signatures, "node"), "copy-mixed")
-
-    first = met.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    shared = materialise(met.join(first, "key"), "copy-shared")
+    met = every.select(F.posexplode("keys").alias("band", "key"), "node").distinct()
+    first = met.groupBy("band", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "a")
+    shared = materialise(met.join(first, ["band", "key"]), "copy-shared")
     star = _similar(shared.where("a < node").select("a", F.col("node").alias("b")).distinct(), texts, size, least)
-    held = shared.select("a", F.col("node").alias("b"))
-    near = materialise(_alike(apart(star, "copy-stars"), least, best=3).join(held, ["a", "b"], "left_anti"), "copy-best")
-    found = star.union(_similar(near, texts, size, least))
-    # Pairs that were held against each other already failed, or are in one component.
-    rest = _alike(apart(found, "copy-near"), least).join(held.union(near), ["a", "b"], "left_anti")
-    return found.union(_similar(rest, texts, size, least))
+    root = components(star, "copy-stars")
+    named = shared.select("band", "key", "node").join(root, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = named.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", "key")
+    mixed = materialise(named.join(mixed, ["band", "key"], "left_semi"), "copy-mixed")
+    held = _shortened(texts.join(mixed.select("node").distinct(), "node", "left_semi"), size)
+    held = materialise(held.groupBy("node").agg(F.min(F.struct("signature", "keys", "held")).alias("x")).select("node", "x.*"), "copy-shortened")
+    joining = materialise(_joining(mixed.join(held, "node"), least), "copy-joining")
+    return star.union(_similar(joining, texts, size, least))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
