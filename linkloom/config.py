@@ -29,6 +29,12 @@ class LinkConfig:
     hold: float = 0.15
     hold_from: float = 0.7
     train_to: float = 0.45
+    alias_count: int = 50
+    alias_precision: float = 0.5
+    alias_typo: float = 0.75
+    alias_synonym: float = 0.7
+    alias_rarity: float = 0.05
+    keep_easy: int = 1_500_000
 
 
 _now: ContextVar[LinkConfig] = ContextVar("linkloom_config", default=LinkConfig())

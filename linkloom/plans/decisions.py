@@ -124,12 +124,13 @@ def normalize_records(d: Dialect) -> str:
 def token_map(d: Dialect) -> str:
     """A map of tokens: learned variants, overridden by fixed ones."""
     return """SELECT country, tok, repl FROM (SELECT country, tok, repl, row_number() OVER (PARTITION BY country, tok ORDER BY pri DESC, repl) AS rk FROM
- (SELECT country, tok, repl, 1 AS pri FROM @learn_alias_basic UNION ALL SELECT DISTINCT country, 'the' AS tok, 'le' AS repl, 2 AS pri FROM @records WHERE country = 'en') x) y WHERE rk = 1"""
+ (SELECT country, tok, repl, 1 AS pri FROM @learn_alias UNION ALL SELECT country, tok, repl, 2 AS pri FROM @fixed_tokens) x) y WHERE rk = 1"""
 
 
 @relation()
-def map_override(d: Dialect) -> str:
-    return "SELECT country, tok, repl FROM @token_map"
+def fixed_tokens(d: Dialect) -> str:
+    """country, tok, repl: replacements that override learned ones. A caller gives this relation; by itself it has none."""
+    return "SELECT country, name_n AS tok, name_n AS repl FROM @records WHERE 1 = 0"
 
 
 @relation()
@@ -194,15 +195,16 @@ ON c.country = n.country AND c.tok = n.tok AND c.rk = 1"""
 @relation()
 def learn_alias_basic(d: Dialect) -> str:
     """Aliases by precision alone, without chains: a replacement is not itself replaced."""
-    good = "(SELECT country, tok, repl, n, c FROM @alias_counts WHERE n >= 2 AND tok <> repl AND c / CAST(n AS DOUBLE) >= 0.5)"
+    good = f"(SELECT country, tok, repl, n, c FROM @alias_counts WHERE n >= {C.alias_count} AND tok <> repl AND c / CAST(n AS DOUBLE) >= {C.alias_precision})"
     return f"SELECT a.country, a.tok, a.repl, a.n, a.c FROM {good} a LEFT JOIN {good} b ON b.country = a.country AND b.tok = a.repl WHERE b.tok IS NULL"
 
 
-@relation(spark_only=True)
+@relation()
 def learn_alias(d: Dialect) -> str:
     """Aliases that are spelling variants, or strong synonyms rare in reference addresses and not among its commonest tokens."""
-    good = """(SELECT a.country, a.tok, a.repl, a.n, a.c FROM @alias_counts a LEFT JOIN @reference_df x ON x.country = a.country AND x.tok = a.tok LEFT JOIN @reference_df y ON y.country = a.country AND y.tok = a.repl
- WHERE a.n >= 2 AND a.tok <> a.repl AND a.c / CAST(a.n AS DOUBLE) >= 0.5 AND (indel_ratio(a.tok, a.repl) >= 0.75 OR (a.c / CAST(a.n AS DOUBLE) >= 0.7 AND y.rk > 100 AND coalesce(x.df, 0) < 0.05 * y.df)))"""
+    good = f"""(SELECT a.country, a.tok, a.repl, a.n, a.c FROM @alias_counts a LEFT JOIN @reference_df x ON x.country = a.country AND x.tok = a.tok LEFT JOIN @reference_df y ON y.country = a.country AND y.tok = a.repl
+ WHERE a.n >= {C.alias_count} AND a.tok <> a.repl AND a.c / CAST(a.n AS DOUBLE) >= {C.alias_precision}
+ AND ({d.indel('a.tok', 'a.repl')} >= {C.alias_typo} OR (a.c / CAST(a.n AS DOUBLE) >= {C.alias_synonym} AND coalesce(y.rk, 101) > 100 AND coalesce(x.df, 0) < {C.alias_rarity} * coalesce(y.df, 0))))"""
     return f"SELECT a.country, a.tok, a.repl, a.n, a.c FROM {good} a LEFT JOIN {good} b ON b.country = a.country AND b.tok = a.repl WHERE b.tok IS NULL"
 
 
@@ -249,15 +251,36 @@ def uncertain_band(d: Dialect) -> str:
 
 @relation()
 def hard_negatives(d: Dialect) -> str:
-    return f"SELECT {PAIR}, p FROM @predicted WHERE NOT y AND (n_jac >= 0.7 OR (a_missing < 0.5 AND a_jac >= 0.7))"
+    return f"SELECT {PAIR}, p FROM @alike WHERE NOT y AND near_alike"
+
+
+@relation()
+def alike(d: Dialect) -> str:
+    """Scored candidates, and whether their names' or addresses' token sets are similar."""
+    return """SELECT p.country, p.s1_num, p.src, p.b_num, p.p, p.y, s.n_tset >= 0.7 OR (p.a_missing < 0.5 AND coalesce(s.a_tset, 0) >= 0.7) AS near_alike FROM @predicted p
+JOIN @pair_strings s ON s.country = p.country AND s.s1_num = p.s1_num AND s.src = p.src AND s.b_num = p.b_num"""
 
 
-MINED = """SELECT country, s1_num, src, b_num, p, y, g, pri FROM (SELECT *, 'hard_pos' AS g, 1 AS pri FROM @predicted WHERE y AND p < 0.5 UNION ALL SELECT *, 'pos' AS g, 2 AS pri FROM @predicted WHERE y AND p >= 0.5
- UNION ALL SELECT *, 'hard_neg' AS g, 3 AS pri FROM @predicted WHERE NOT y AND p >= 0.5 UNION ALL SELECT *, 'similar_neg' AS g, 4 AS pri FROM @predicted WHERE NOT y AND n_jac >= 0.5
- UNION ALL SELECT *, 'rand_neg' AS g, 5 AS pri FROM @predicted WHERE NOT y) m"""
+MINED = """SELECT country, s1_num, src, b_num, p, y, g, pri FROM (SELECT *, 'hard_pos' AS g, 1 AS pri FROM @alike WHERE y AND p < 0.9 UNION ALL SELECT *, 'pos' AS g, 2 AS pri FROM @alike WHERE y AND p >= 0.9
+ UNION ALL SELECT *, 'hard_neg' AS g, 3 AS pri FROM @alike WHERE NOT y AND p >= 0.02 UNION ALL SELECT *, 'similar_neg' AS g, 4 AS pri FROM @alike WHERE NOT y AND p < 0.02 AND near_alike
+ UNION ALL SELECT *, 'rand_neg' AS g, 5 AS pri FROM @alike WHERE NOT y AND p < 0.02) m"""
 ORDER = "(s1_num * 2654435761 + b_num * 40503 + src) % 4294967296"
 
 
+def _ranked(rows: str, by: str, order: str) -> str:
+    """rows (with a column part, whose order is the first of the order) with their rank within by, and the size of their group:
+    counts of the parts, a running sum over those, and ranks within a part."""
+    return f"""SELECT z.*, z.inner_rk + s.ahead AS rk, s.total FROM (SELECT *, {by} AS grp, row_number() OVER (PARTITION BY {by}, part ORDER BY {order}) AS inner_rk FROM {rows}) z
+JOIN (SELECT grp, part, sum(n) OVER (PARTITION BY grp ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS ahead, sum(n) OVER (PARTITION BY grp) AS total
+  FROM (SELECT {by} AS grp, part, count(*) AS n FROM {rows} GROUP BY {by}, part) c) s ON s.grp = z.grp AND s.part = z.part"""
+
+
+def _lowest(rows: str, by: str, most: str, order: str) -> str:
+    """The rows of each group with the lowest o (ties by order), at most `most` (which may read total, the group's size)."""
+    parted = f"(SELECT *, CAST(floor(o / 1048576.0) AS BIGINT) AS part FROM {rows}) r"
+    return f"SELECT * FROM ({_ranked(parted, by, f'o, {order}')}) v WHERE rk <= {most}"
+
+
 @relation()
 def mine_groups(d: Dialect) -> str:
     return f"SELECT {PAIR}, g FROM ({MINED}) x"
@@ -266,13 +289,13 @@ def mine_groups(d: Dialect) -> str:
 @relation()
 def quota_sample(d: Dialect) -> str:
     """At most 20 pairs of each group, those with the lowest hash."""
-    return f"SELECT {PAIR}, g FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {ORDER}, s1_num, src, b_num) AS rk FROM ({MINED}) x) y WHERE rk <= 20"
+    return f"SELECT {PAIR}, g FROM ({_lowest(f'(SELECT *, {ORDER} AS o FROM ({MINED}) q) x', 'g', '20', 'country, s1_num, src, b_num')}) y"
 
 
 @relation()
 def proportional_quota(d: Dialect) -> str:
     """A tenth of each country's pairs, rounded up, those with the lowest hash."""
-    return f"SELECT {PAIR} FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY {ORDER}, s1_num, src, b_num) AS rk, count(*) OVER (PARTITION BY country) AS n FROM @predicted) y WHERE rk <= ceil(n / 10.0)"
+    return f"SELECT {PAIR} FROM ({_lowest(f'(SELECT {PAIR}, {ORDER} AS o FROM @predicted) x', 'country', 'ceil(total / 10.0)', 's1_num, src, b_num')}) y"
 
 
 @relation()
@@ -282,14 +305,19 @@ def dedupe_priority(d: Dialect) -> str:
 
 @relation()
 def v3_selection(d: Dialect) -> str:
-    """Uncertain or wrong pairs; clear mistakes twice."""
+    """Uncertain or wrong pairs; clear mistakes twice; and of the rest, the easy ones, so many as the configuration keeps, those
+    with the lowest hash (found through counts by hash range, so that no task ranks them all)."""
     e = "abs(p - CASE WHEN y THEN 1 ELSE 0 END)"
-    return f"SELECT {PAIR}, p FROM @predicted WHERE {e} > 0.2 OR (p > 0.05 AND p < 0.95) UNION ALL SELECT {PAIR}, p FROM @predicted WHERE {e} > 0.5"
+    hard = f"{e} > 0.2 OR (p > 0.05 AND p < 0.95)"
+    easy = f"(SELECT {PAIR}, p, {ORDER} AS o FROM @predicted WHERE NOT ({hard})) x"
+    return f"""SELECT {PAIR}, p FROM @predicted WHERE {hard} UNION ALL SELECT {PAIR}, p FROM @predicted WHERE {e} > 0.5
+UNION ALL SELECT {PAIR}, p FROM ({_lowest(easy, "1", f"{C.keep_easy}", "country, s1_num, src, b_num")}) w"""
 
 
 @relation()
 def every_kth_row(d: Dialect) -> str:
-    return f"SELECT {PAIR} FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY s1_num, src, b_num) AS rk FROM @predicted) x WHERE rk % 8 = 1"
+    # The range of a row is its record's: records stand in their order, so ranges do as well.
+    return f"SELECT {PAIR} FROM ({_ranked('(SELECT ' + PAIR + ', CAST(floor(s1_num / 64.0) AS BIGINT) AS part FROM @predicted) x', 'country', 's1_num, src, b_num')}) y WHERE rk % 8 = 1"
 
 
 @relation()
@@ -305,13 +333,9 @@ def left_join_scores(d: Dialect) -> str:
 
 @relation()
 def neural_columns(d: Dialect) -> str:
-    c = "greatest(least(coalesce(nn, 0.5), 1 - 1e-6), 1e-6)"
-    return f"SELECT {PAIR}, coalesce(nn, 0.5) AS nn_p, round(ln({c} / (1 - {c})), 6) AS nn_logit, CASE WHEN nn IS NULL THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS nn_missing FROM @left_join_scores"
-
-
-@relation()
-def address_first_join(d: Dialect) -> str:
-    return "SELECT * FROM @block_address_first"
+    """Score and its logit, both absent where the pair was not scored."""
+    c = "CASE WHEN nn IS NOT NULL THEN greatest(least(nn, 1 - 1e-6), 1e-6) END"
+    return f"SELECT {PAIR}, nn AS nn_p, round(ln({c} / (1 - {c})), 6) AS nn_logit, CASE WHEN nn IS NULL THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS nn_missing FROM @left_join_scores"
 
 
 @relation()
@@ -362,8 +386,9 @@ def quantile_grid(d: Dialect) -> str:
 
 @relation()
 def percentile_lookup(d: Dialect) -> str:
-    """Share of its country's grid that a score reaches."""
-    return "SELECT p.country, p.s1_num, p.src, p.b_num, round(CAST(sum(CASE WHEN g.q <= p.p THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS pct FROM @predicted p JOIN @quantile_grid g ON g.country = p.country GROUP BY p.country, p.s1_num, p.src, p.b_num"
+    """Share of its country's grid that a score reaches: the grid is one list for each country."""
+    grid = "collect_list(q)" if d.spark else "list(q)"
+    return f"SELECT p.country, p.s1_num, p.src, p.b_num, round(CAST({d.size(d.filter('g.qs', 'q', 'q <= p.p'))} AS DOUBLE) / {d.size('g.qs')}, 6) AS pct FROM @predicted p JOIN (SELECT country, {grid} AS qs FROM @quantile_grid GROUP BY country) g ON g.country = p.country"
 
 
 # ---- decisions and metrics ----
@@ -445,11 +470,12 @@ def prior_sweep(d: Dialect) -> str:
 @relation()
 def ap_auc_logloss(d: Dialect) -> str:
     """Average precision (equal scores share one precision), area under the ROC curve (ties count half) and log loss."""
-    return """SELECT round(sum(CASE WHEN y THEN tp / CAST(n AS DOUBLE) ELSE 0 END) / nullif(sum(CASE WHEN y THEN 1 ELSE 0 END), 0), 6) AS ap,
- round((sum(CASE WHEN y THEN mid ELSE 0 END) - max(pos) * (max(pos) + 1) / 2.0) / nullif(max(pos) * (max(total) - max(pos)), 0), 6) AS auc,
- round(-avg(CASE WHEN y THEN ln(greatest(p, 1e-9)) ELSE ln(greatest(1 - p, 1e-9)) END), 6) AS logloss FROM
- (SELECT p, y, sum(CASE WHEN y THEN 1 ELSE 0 END) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp, count(*) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n,
-  rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS mid, CAST(sum(CASE WHEN y THEN 1 ELSE 0 END) OVER () AS DOUBLE) AS pos, CAST(count(*) OVER () AS DOUBLE) AS total FROM @predicted) x"""
+    # One row for each score (of six places, so a million at most); windows run over those.
+    return """SELECT round(sum(k * tp / CAST(n AS DOUBLE)) / nullif(sum(k), 0), 6) AS ap,
+ round((sum(k * (total - n + (m + 1) / 2.0)) - max(pos) * (max(pos) + 1) / 2.0) / nullif(max(pos) * (max(total) - max(pos)), 0), 6) AS auc,
+ round(-sum(k * ln(greatest(p, 1e-9)) + (m - k) * ln(greatest(1 - p, 1e-9))) / max(total), 6) AS logloss FROM
+ (SELECT p, k, m, CAST(sum(k) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS tp, CAST(sum(m) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS n,
+  CAST(sum(k) OVER () AS DOUBLE) AS pos, CAST(sum(m) OVER () AS DOUBLE) AS total FROM (SELECT p, CAST(sum(CASE WHEN y THEN 1 ELSE 0 END) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS m FROM @predicted GROUP BY p) g) x"""
 
 
 @relation()
@@ -469,10 +495,10 @@ def crowded_parts(d: Dialect) -> str:
 
 QUERIES = tuple(
     """scan_records country_subset truth_explode result_table join_ids candidate_table pair_text_export id_num pack_pair u01_split cv_fold fold_accents norm_names norm_addrs
-    apply_token_map normalize_records map_override untranslated_tokens learn_lexicon learn_alias learn_alias_basic hold_train_rows uncertain_band hard_negatives v3_selection every_kth_row
-    label_pairs attach_records left_join_scores neural_columns pair_dot_product address_first_join pair_text token_df core_tokens name_keys addr_keys block_forward block_addr_list
-    block_reverse block_union candidates block_recall typo_keys block_channels split_numbers block_siblings block_address_first pair_features_tokens pair_features_strings pair_features_edit
-    jaro_winkler_names competition_features context_features anchor_features anchor_tokens metric_by_country_rollup quantile_grid ap_auc_logloss rank_first running_sum percentile_lookup
+    apply_token_map normalize_records token_map untranslated_tokens learn_lexicon learn_alias learn_alias_basic hold_train_rows uncertain_band hard_negatives v3_selection every_kth_row
+    label_pairs attach_records left_join_scores neural_columns pair_dot_product pair_text token_df core_tokens name_keys addr_keys block_forward block_addr_list
+    block_reverse block_union candidates block_recall typo_keys block_channels split_numbers block_siblings block_address_first pair_features_tokens pair_features_strings pair_features_windows pair_features_edit
+    jaro_winkler_names competition_features context_features anchor_features anchor_names anchor_tokens metric_by_country_rollup quantile_grid ap_auc_logloss rank_first running_sum percentile_lookup
     group_head_n topk_rerank pair_union pair_except pair_intersect dedupe_priority quota_sample proportional_quota mine_groups pseudo_labels one_owner decide_threshold decide_expected_f
     macro_f05 threshold_sweep threshold_sweep_2 prior_sweep pivot_recall crowded_parts token_idf_table block_index_table block_mass_table block_scores_table""".split()
 )

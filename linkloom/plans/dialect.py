@@ -102,6 +102,33 @@ class Dialect:
         """Levenshtein distance in characters. The oracle's counts bytes, and the fixtures keep one letter beyond ASCII."""
         return f"levenshtein({x}, {y})" if self.spark else f"levenshtein(translate({x}, 'ß', '~'), translate({y}, 'ß', '~'))"
 
+    def indel(self, x: str, y: str) -> str:
+        """Twice the common subsequence over both lengths. The oracle runs the bit-vector recurrence on integers of 127 bits."""
+        if self.spark:
+            return f"indel_ratio({x}, {y})"
+        one = "CAST(1 AS HUGEINT)"
+        full = f"(({one} << CAST(length(p.x) AS INT)) - 1)"
+        masks = f"list_transform(string_split(p.y, ''), lambda c: CAST(list_sum(list_transform(range(1, length(p.x) + 1), lambda i: CASE WHEN (p.x)[i] = c THEN {one} << CAST(i - 1 AS INT) ELSE CAST(0 AS HUGEINT) END)) AS HUGEINT))"
+        left = f"bit_count(list_reduce({masks}, lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full}, {full}))"
+        value = f"CASE WHEN p.x = '' AND p.y = '' THEN 1.0 WHEN p.x = '' OR p.y = '' THEN 0.0 ELSE CAST(2 * (length(p.x) - {left}) AS DOUBLE) / (length(p.x) + length(p.y)) END"
+        return f"list_transform([struct_pack(x := {x}, y := {y})], lambda p: CAST({value} AS DOUBLE))[1]"
+
+    def token_sort(self, x: str, y: str) -> str:
+        if self.spark:
+            return f"token_sort_ratio({x}, {y})"
+        ordered = lambda t: self.join(f"list_sort({self.words(t)})")
+        return self.indel(ordered(x), ordered(y))
+
+    def token_set(self, x: str, y: str) -> str:
+        """As functions.fold.token_set_ratio."""
+        if self.spark:
+            return f"token_set_ratio({x}, {y})"
+        some = lambda a, b, no: f"list_filter({a}, lambda q: {no} list_contains({b}, q))"
+        told = "list_transform([struct_pack(a := list_sort(list_distinct({})), b := list_sort(list_distinct({})))], lambda s: struct_pack(a := s.a, b := s.b, c := {}, m := {}, n := {}))".format(self.words(x), self.words(y), some("s.a", "s.b", ""), some("s.a", "s.b", "NOT"), some("s.b", "s.a", "NOT"))
+        texts = f"list_transform({told}, lambda z: struct_pack(none := len(z.a) = 0 OR len(z.b) = 0, meet := len(z.c) > 0, held := len(z.m) = 0 OR len(z.n) = 0, k := {self.join('z.c')}, l := {self.join('list_concat(z.c, z.m)')}, r := {self.join('list_concat(z.c, z.n)')}))"
+        part = lambda side: f"2.0 * length(w.k) / (length(w.k) + length(w.{side}))"
+        return f"list_transform({texts}, lambda w: CASE WHEN w.none THEN 0.0 WHEN w.meet AND w.held THEN 1.0 ELSE CAST(greatest({self.indel('w.l', 'w.r')}, CASE WHEN w.meet THEN greatest({part('l')}, {part('r')}) ELSE 0 END) AS DOUBLE) END)[1]"
+
     def lookup(self, x: str, words: dict[str, str]) -> str:
         return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items()) + f" ELSE {x} END"
 

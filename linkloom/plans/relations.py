@@ -186,11 +186,10 @@ def block_scores(d: Dialect) -> str:
 
 @relation(stored=True)
 def weighed(d: Dialect) -> str:
-    """block_scores with the masses of both sides and the ranks of the pool."""
-    return """SELECT s.*, a.m AS m_q, b.m AS m_t, a.ma AS ma_q, b.ma AS ma_t,
- row_number() OVER (PARTITION BY s.country, s.src, s.num, s.index_src ORDER BY round(s.sn + s.sa, 8) DESC, s.other) AS pool,
- row_number() OVER (PARTITION BY s.country, s.src, s.num, s.index_src ORDER BY round(s.sa, 8) DESC, s.other) AS pool_a
-FROM @block_scores s JOIN @block_mass a ON a.country = s.country AND a.src = s.src AND a.num = s.num AND a.index_src = s.index_src
+    """The pools (by all keys and by address keys) out of block_scores, with the masses of both sides."""
+    w = "PARTITION BY country, src, num, index_src ORDER BY"
+    return f"""SELECT s.*, a.m AS m_q, b.m AS m_t, a.ma AS ma_q, b.ma AS ma_t FROM
+ (SELECT * FROM (SELECT *, row_number() OVER ({w} round(sn + sa, 8) DESC, other) AS pool, row_number() OVER ({w} round(sa, 8) DESC, other) AS pool_a FROM @block_scores) r WHERE pool <= {C.pool} OR (sa > 0 AND pool_a <= {C.pool})) s JOIN @block_mass a ON a.country = s.country AND a.src = s.src AND a.num = s.num AND a.index_src = s.index_src
 JOIN @block_mass b ON b.country = s.country AND b.src = s.index_src AND b.num = s.other AND b.index_src = s.index_src"""
 
 
@@ -295,12 +294,15 @@ def block_siblings(d: Dialect) -> str:
 
 @relation()
 def typo_keys(d: Dialect) -> str:
-    """Consonant skeletons, and one-letter deletions of the two rarest plain tokens of 5 to 12 letters."""
+    """Of the two rarest specific tokens, those of 5 to 12 plain letters: the consonant skeleton without doubles, if it has 4
+    letters, the token, and its one-letter deletions."""
     skeleton = f"concat(substr(tok, 1, 1), {d.replace('substr(tok, 2)', '[aeiou]')})"
-    return f"""SELECT DISTINCT country, src, num, key FROM (SELECT country, src, num, concat('k', {skeleton}) AS key FROM @tokens WHERE field = 'name' AND length(tok) >= 5 AND {ascii(d, 'tok')}
-UNION ALL SELECT country, src, num, concat('d', substr(tok, 1, k - 1), substr(tok, k + 1)) AS key FROM
- (SELECT t.country, t.src, t.num, t.tok, row_number() OVER (PARTITION BY t.country, t.src, t.num ORDER BY f.df, t.tok) AS rn FROM @tokens t JOIN @token_df f ON f.country = t.country AND f.field = t.field AND f.tok = t.tok
-  WHERE t.field = 'name' AND length(t.tok) BETWEEN 5 AND 12 AND {d.matches('t.tok', '^[a-z]+$')}) x, {d.rows(d.series('CAST(1 AS INT)', 'CAST(length(tok) AS INT)'), 'e', 'k')} WHERE rn <= 2) z"""
+    for c in "bcdfghjklmnpqrstvwxyz":
+        skeleton = d.replace(skeleton, f"{c}{c}+", c)
+    plain = f"(SELECT country, src, num, tok FROM @core_tokens WHERE field = 'name' AND rn <= 2 AND length(tok) BETWEEN 5 AND 12 AND {d.matches('tok', '^[a-z]+$')})"
+    return f"""SELECT DISTINCT country, src, num, key FROM (SELECT country, src, num, concat('k', sk) AS key FROM (SELECT country, src, num, {skeleton} AS sk FROM {plain} x) y WHERE length(sk) >= 4
+UNION ALL SELECT country, src, num, concat('d', tok) AS key FROM {plain} x
+UNION ALL SELECT country, src, num, concat('d', substr(tok, 1, k - 1), substr(tok, k + 1)) AS key FROM {plain} x, {d.rows(d.series('CAST(1 AS INT)', 'CAST(length(tok) AS INT)'), 'e', 'k')}) z"""
 
 
 @relation()
@@ -411,7 +413,8 @@ FROM (SELECT z.*, {d.slice('xa', 1, 6)} AS slice6_a, {d.slice('xb', 1, 6)} AS sl
 
 TOKEN_FEATURES = ("s_tot", "is_s3", "n_nonlatin_b", "a_missing", "n_jac", "n_core_jac", "n_core_ov", "n_core_a", "n_core_b", "n_cov_a", "n_cov_b", "n_first_eq", "n_last_eq", "n_len_ratio", "n_untrans_b", "a_jac", "a_cov_a", "a_cov_b", "a_num_ov", "a_num_jac", "a_num_a", "a_num_b", "a_first_num_eq", "a_postal_eq", "a_last_eq", "a_tok_a", "a_tok_b", "a_num_split_jac", "a_first_num_logdiff")
 EDIT_FEATURES = ("n_lev", "a_first_num_sim", "a_num_best_sim")
-STRING_FEATURES = ("n_ratio", "n_tsort", "n_tset", "n_partial", "n_jw", "a_ratio", "a_tsort", "a_tset")
+STRING_FEATURES = ("n_ratio", "n_tsort", "n_tset", "a_ratio", "a_tsort", "a_tset")
+WINDOW_FEATURES = ("n_partial", "n_jw")
 
 
 @relation()
@@ -424,18 +427,36 @@ def pair_features_edit(d: Dialect) -> str:
     return f"SELECT {PAIR}, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in EDIT_FEATURES) + " FROM @pair_features"
 
 
-@relation(spark_only=True, stored=True)
+@relation(stored=True)
+def text_ratios(d: Dialect) -> str:
+    """Ratios of the distinct texts that candidates put side by side: each two are compared once, whatever pairs have them."""
+    return f"""SELECT field, x, y, {d.indel('x', 'y')} AS r, {d.token_sort('x', 'y')} AS tsort, {d.token_set('x', 'y')} AS tset FROM
+ (SELECT DISTINCT 'name' AS field, na AS x, nb AS y FROM @pairs UNION ALL SELECT DISTINCT 'addr' AS field, aa AS x, ab AS y FROM @pairs WHERE aa <> '' AND ab <> '') t"""
+
+
+@relation(stored=True)
 def pair_strings(d: Dialect) -> str:
-    a = lambda f: f"CASE WHEN aa <> '' AND ab <> '' THEN {f}(aa, ab) END"
-    return f"""SELECT {PAIR}, indel_ratio(na, nb) AS n_ratio, token_sort_ratio(na, nb) AS n_tsort, token_set_ratio(na, nb) AS n_tset, partial_ratio(na, nb) AS n_partial, jaro_winkler(na, nb) AS n_jw,
- {a('indel_ratio')} AS a_ratio, {a('token_sort_ratio')} AS a_tsort, {a('token_set_ratio')} AS a_tset FROM @pairs"""
+    """Ratios of names, and of addresses where both stand."""
+    return f"""SELECT p.country, p.s1_num, p.src, p.b_num, n.r AS n_ratio, n.tsort AS n_tsort, n.tset AS n_tset, a.r AS a_ratio, a.tsort AS a_tsort, a.tset AS a_tset FROM @pairs p
+JOIN @text_ratios n ON n.field = 'name' AND n.x = p.na AND n.y = p.nb LEFT JOIN @text_ratios a ON a.field = 'addr' AND a.x = p.aa AND a.y = p.ab"""
 
 
-@relation(spark_only=True)
+@relation(spark_only=True, stored=True)
+def pair_windows(d: Dialect) -> str:
+    """Window and Jaro-Winkler ratios of names, each two distinct names compared once."""
+    return f"""SELECT {PAIR}, r.n_partial, r.n_jw FROM @pairs p JOIN (SELECT x, y, partial_ratio(x, y) AS n_partial, jaro_winkler(x, y) AS n_jw FROM (SELECT DISTINCT na AS x, nb AS y FROM @pairs) t) r ON r.x = p.na AND r.y = p.nb"""
+
+
+@relation()
 def pair_features_strings(d: Dialect) -> str:
     return f"SELECT {PAIR}, " + ", ".join(f"round({c}, 6) AS {c}" for c in STRING_FEATURES) + " FROM @pair_strings"
 
 
+@relation(spark_only=True)
+def pair_features_windows(d: Dialect) -> str:
+    return f"SELECT {PAIR}, round(n_partial, 6) AS n_partial, round(n_jw, 6) AS n_jw FROM @pair_windows"
+
+
 @relation()
 def jaro_winkler_names(d: Dialect) -> str:
     f = "jaro_winkler(na, nb)" if d.spark else "jaro_winkler_similarity(na, nb)"
@@ -508,8 +529,49 @@ def anchor_tokens(d: Dialect) -> str:
 FROM (SELECT t.*, {w("coalesce(na, '')")} AS x, {w('nb')} AS y, {w("coalesce(aa, '')")} AS u, {w('ab')} AS v FROM @anchors t) z"""
 
 
-@relation(spark_only=True)
+@relation(stored=True)
+def anchor_weights(d: Dialect) -> str:
+    """Weight of the tokens that a candidate shares with its anchor, by field."""
+    return """SELECT p.country, p.s1_num, p.src, p.b_num, a.field, sum(f.idf) AS w FROM @context p JOIN @tokens a ON a.src = p.anchor_src AND a.country = p.country AND a.num = p.anchor_b
+JOIN @tokens b ON b.src = p.src AND b.country = p.country AND b.num = p.b_num AND b.field = a.field AND b.tok = a.tok
+JOIN @token_idf f ON f.country = a.country AND f.field = a.field AND f.tok = a.tok GROUP BY p.country, p.s1_num, p.src, p.b_num, a.field"""
+
+
+#: Features of a candidate against its anchor, named as those of a pair.
+ANCHOR = ("n_ratio", "n_tsort", "n_tset", "n_jw", "n_cov_a", "n_cov_b", "a_missing", "a_ratio", "a_tsort", "a_tset", "a_jac", "a_cov_a", "a_cov_b", "a_num_jac", "a_first_num_eq", "a_postal_eq", "a_last_eq")
+
+
+def _anchored(d: Dialect, names: tuple[str, ...]) -> str:
+    ok = "na IS NOT NULL AND aa <> '' AND ab <> ''"
+    n = lambda x: f"CASE WHEN na IS NOT NULL THEN {x} END"
+    a = lambda x: f"CASE WHEN {ok} THEN {x} END"
+    postal = d.size(d.filter("da", "t", d.has("db", "t") + " AND " + d.matches("t", "^[0-9]{5,6}$")))
+    every = {
+        "n_ratio": n(d.indel("coalesce(na, '')", "nb")), "n_tsort": n(d.token_sort("coalesce(na, '')", "nb")), "n_tset": n(d.token_set("coalesce(na, '')", "nb")), "n_jw": n("jaro_winkler(coalesce(na, ''), nb)"),
+        "n_cov_a": n("coalesce(w_n / nullif(w_na, 0), 0)"), "n_cov_b": n("coalesce(w_n / nullif(w_nb, 0), 0)"), "a_missing": n(_flag("aa = '' OR ab = ''")),
+        "a_ratio": a(d.indel("coalesce(aa, '')", "ab")), "a_tsort": a(d.token_sort("coalesce(aa, '')", "ab")), "a_tset": a(d.token_set("coalesce(aa, '')", "ab")),
+        "a_jac": a(_share(d.both("ua", "ub"), d.either("ua", "ub"))), "a_cov_a": a("coalesce(w_a / nullif(w_aa, 0), 0)"), "a_cov_b": a("coalesce(w_a / nullif(w_ab, 0), 0)"),
+        "a_num_jac": a(_share(d.both("da", "db"), d.either("da", "db"))), "a_first_num_eq": a(_flag(f"{d.size('da')} > 0 AND {d.has('db', d.at('da', '1'))}")), "a_postal_eq": a(_flag(f"{postal} > 0")),
+        "a_last_eq": a(_flag(f"{d.at('ua', d.size('ua'))} = {d.at('ub', d.size('ub'))}")),
+    }
+    w = d.words
+    columns = ", ".join(f"round(CAST({every[c]} AS DOUBLE), 6) AS anc_{c}" for c in names)
+    return f"""SELECT {PAIR}, {columns} FROM (SELECT t.country, t.s1_num, t.src, t.b_num, t.na, t.aa, t.nb, t.ab, {w("coalesce(t.aa, '')")} AS ua, {w('t.ab')} AS ub, {_has_number(d, w("coalesce(t.aa, '')"))} AS da, {_has_number(d, w('t.ab'))} AS db,
+  coalesce(n.w, 0) AS w_n, coalesce(m.w, 0) AS w_a, coalesce(wa.w, 0) AS w_na, coalesce(wb.w, 0) AS w_nb, coalesce(va.w, 0) AS w_aa, coalesce(vb.w, 0) AS w_ab FROM @anchors t
+ LEFT JOIN @anchor_weights n ON n.field = 'name' AND n.country = t.country AND n.s1_num = t.s1_num AND n.src = t.src AND n.b_num = t.b_num
+ LEFT JOIN @anchor_weights m ON m.field = 'addr' AND m.country = t.country AND m.s1_num = t.s1_num AND m.src = t.src AND m.b_num = t.b_num
+ LEFT JOIN @token_weights wa ON wa.field = 'name' AND wa.src = t.anchor_src AND wa.country = t.country AND wa.num = t.anchor_b
+ LEFT JOIN @token_weights wb ON wb.field = 'name' AND wb.src = t.src AND wb.country = t.country AND wb.num = t.b_num
+ LEFT JOIN @token_weights va ON va.field = 'addr' AND va.src = t.anchor_src AND va.country = t.country AND va.num = t.anchor_b
+ LEFT JOIN @token_weights vb ON vb.field = 'addr' AND vb.src = t.src AND vb.country = t.country AND vb.num = t.b_num) z"""
+
+
+@relation()
 def anchor_features(d: Dialect) -> str:
-    n = lambda f: f"round(CASE WHEN na IS NOT NULL THEN {f}(coalesce(na, ''), nb) END, 6)"
-    a = lambda f: f"round(CASE WHEN aa <> '' AND ab <> '' THEN {f}(coalesce(aa, ''), ab) END, 6)"
-    return f"""SELECT {PAIR}, {n('indel_ratio')} AS anc_n_ratio, {n('token_sort_ratio')} AS anc_n_tsort, {n('token_set_ratio')} AS anc_n_tset, {n('partial_ratio')} AS anc_n_partial, {n('jaro_winkler')} AS anc_n_jw, {a('indel_ratio')} AS anc_a_ratio, {a('token_set_ratio')} AS anc_a_tset FROM @anchors"""
+    """A candidate against its record's best other candidate; all null without one, address features where one is missing."""
+    return _anchored(d, tuple(c for c in ANCHOR if c != "n_jw"))
+
+
+@relation(spark_only=True)
+def anchor_names(d: Dialect) -> str:
+    return _anchored(d, ("n_jw",))
