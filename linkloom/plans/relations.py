@@ -128,31 +128,42 @@ def core_tokens(d: Dialect) -> str:
 WHERE rn <= CASE WHEN field = 'name' THEN {C.name_core} ELSE {C.address_core} END"""
 
 
-def _pairs_of_core(field: str, mark: str) -> str:
-    return f"""SELECT a.country, a.src, a.num, concat('{mark}', a.tok, '_', b.tok) AS key FROM @core_tokens a
-JOIN @core_tokens b ON a.country = b.country AND a.src = b.src AND a.num = b.num AND a.field = b.field AND a.rn < b.rn WHERE a.field = '{field}'"""
+@relation()
+def core_lists(d: Dialect) -> str:
+    """The specific tokens of each record and field as one list, rarest first."""
+    agg = "transform(array_sort(collect_list(struct(rn, tok))), x -> x.tok)" if d.spark else "list(tok ORDER BY rn)"
+    return f"SELECT country, src, num, field, {agg} AS toks FROM @core_tokens GROUP BY country, src, num, field"
 
 
-@relation()
-def name_keys(d: Dialect) -> str:
-    t = "SELECT country, src, num, {} AS key FROM @tokens WHERE field = 'name' AND length(tok) >= {}"
+@relation(stored=True)
+def keys(d: Dialect) -> str:
+    """Keys of names (n, p, x: a token, its start, its end; b: two specific tokens; g: the glued name) and of addresses (a, z:
+    a word, a long number; c: two specific tokens): one pass over the tokens, one over the lists of specific ones."""
+    digits = d.matches("tok", "^[0-9]+$")
+    when = lambda cond, key: f"CASE WHEN {cond} THEN concat({key}) END"
+    name = lambda n, key: when(f"field = 'name' AND length(tok) >= {n}", key)
+    addr = lambda cond, key: when(f"field = 'addr' AND {cond}", key)
+    each = d.array(name(3, "'n', tok"), name(5, "'p', substr(tok, 1, 4)"), name(6, "'x', substr(tok, length(tok) - 3, 4)"), addr(f"length(tok) >= 4 AND NOT {digits}", "'a', tok"), addr(f"length(tok) >= 5 AND {digits}", "'z', tok"))
+    mark = "CASE WHEN field = 'name' THEN 'b' ELSE 'c' END"
+    if d.spark:
+        twos = f"flatten(transform(toks, (x, i) -> transform(slice(toks, i + 2, size(toks)), y -> concat({mark}, x, '_', y))))"
+    else:
+        twos = f"flatten(list_transform(toks, lambda x, i: list_transform(toks[i + 1:], lambda y: concat({mark}, x, '_', y))))"
     glued = d.join(d.filter(d.words("name_n"), "t", f"NOT {d.one_of('t', W.LEGAL_WORDS)}"), "")
-    return f"""SELECT DISTINCT country, src, num, key FROM ({t.format("concat('n', tok)", 3)} UNION ALL {_pairs_of_core('name', 'b')}
-UNION ALL {t.format("concat('p', substr(tok, 1, 4))", 5)} UNION ALL {t.format("concat('x', substr(tok, length(tok) - 3, 4))", 6)}
-UNION ALL SELECT country, src, num, concat('g', substr(g, 1, 10)) AS key FROM (SELECT country, src, num, {glued} AS g FROM @records) y WHERE length(g) >= 8 AND {ascii(d, 'g')}) x"""
+    fam = "CASE WHEN field = 'name' THEN 'n' ELSE 'a' END AS fam"
+    return f"""SELECT DISTINCT country, src, num, fam, key FROM (SELECT country, src, num, {fam}, key FROM @tokens, {d.rows(d.filter(each, 'k', 'k IS NOT NULL'), 'e', 'key')}
+UNION ALL SELECT country, src, num, {fam}, key FROM @core_lists, {d.rows(twos, 'e', 'key')}
+UNION ALL SELECT country, src, num, 'n' AS fam, concat('g', substr(g, 1, 10)) AS key FROM (SELECT country, src, num, {glued} AS g FROM @records) y WHERE length(g) >= 8 AND {ascii(d, 'g')}) x"""
 
 
 @relation()
-def addr_keys(d: Dialect) -> str:
-    digits = d.matches("tok", "^[0-9]+$")
-    return f"""SELECT DISTINCT country, src, num, key FROM (SELECT country, src, num, concat('a', tok) AS key FROM @tokens WHERE field = 'addr' AND length(tok) >= 4 AND NOT {digits}
-UNION ALL {_pairs_of_core('addr', 'c')}
-UNION ALL SELECT country, src, num, concat('z', tok) AS key FROM @tokens WHERE field = 'addr' AND length(tok) >= 5 AND {digits}) x"""
+def name_keys(d: Dialect) -> str:
+    return "SELECT country, src, num, key FROM @keys WHERE fam = 'n'"
 
 
-@relation(stored=True)
-def keys(d: Dialect) -> str:
-    return "SELECT country, src, num, 'n' AS fam, key FROM @name_keys UNION ALL SELECT country, src, num, 'a' AS fam, key FROM @addr_keys"
+@relation()
+def addr_keys(d: Dialect) -> str:
+    return "SELECT country, src, num, key FROM @keys WHERE fam = 'a'"
 
 
 # ---- blocking ----

@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; chosen here only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster must name its shared folder in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints/linkloom")
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")

@@ -23,7 +23,8 @@ def link_stream(keys: DataFrame, index: DataFrame, postings: DataFrame) -> DataF
 
 
 def stream_candidates(ws) -> DataFrame:
-    """The keys of sources 2 and 3 as a stream of files; each micro-batch appends its scored pairs to a table."""
+    """The keys of sources 2 and 3 as a stream of files; each micro-batch writes its scored pairs to a folder of its own, so a
+    batch that is replayed replaces what it wrote before."""
     spark, base = ws.spark, f"{shared_dir(ws.spark)}/linkloom-stream-{uuid.uuid4().hex}"
     keys = ws.relation("keys")
     # A file holds whole records, so a record's keys come in one micro-batch.
@@ -31,11 +32,11 @@ def stream_candidates(ws) -> DataFrame:
     index = ws.relation("block_index").where("src = 1").select("country", "fam", "key", "idf")
     postings = keys.where("src = 1").selectExpr("country", "fam", "key", "num as other")
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, which: int) -> None:
         scored = df.groupBy("country", "src", "b_num", "s1_num").agg({"w": "sum"}).withColumnRenamed("sum(w)", "score")
-        scored.where("score > 0").selectExpr("country", "src", "b_num", "s1_num", "round(score, 6) as score").write.mode("append").parquet(f"{base}/out")
+        scored.where("score > 0").selectExpr("country", "src", "b_num", "s1_num", "round(score, 6) as score").write.mode("overwrite").parquet(f"{base}/out/batch={which}")
 
     stream = link_stream(spark.readStream.schema(keys.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in"), index, postings)
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("country string, src long, b_num long, s1_num long, score double").parquet(f"{base}/out")
+    return spark.read.schema("country string, src long, b_num long, s1_num long, score double, batch long").parquet(f"{base}/out").drop("batch")
