@@ -219,10 +219,10 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
 
     trusted_ids: one column doc_id; documents with such an id are the trusted text. A language's threshold is the quantile of
     its trusted documents' perplexities times slack; a language without trusted documents, null included, has the quantile
-    over all of them. The word model counts four fifths of the trusted texts, as it would know by heart what it has counted; its
-thresholds come likewise from the others (by content hash), without which there are none. kept: both perplexities within
-their thresholds. A null or empty text has no perplexity and isn't kept; without
-    any trusted text everything else is kept. A null id is never trusted; repeated rows get the same answer; an empty table
+    over all of them. slack: how far above the quantile a document may lie, as the quantile of a few trusted documents is no
+    limit for others. The word model counts four fifths of the trusted texts, as it would know by heart what it has counted; its
+    thresholds come likewise from the others (by content hash), without which there are none. kept: both perplexities within
+    their thresholds. A null or empty text has no perplexity and isn't kept; without any trusted text everything else is kept. A null id is never trusted; repeated rows get the same answer; an empty table
     gives an empty result."""
     from .words import held_back, word_perplexities
 

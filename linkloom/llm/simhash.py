@@ -1,5 +1,7 @@
 """SimHash near-duplicates by covering anchors.
 
+Blocks of equal bits, as in banding, give most of the selectivity here; the covering code gives the rest.
+
 Fingerprints of 64 bits link at `most` (2) or fewer differing bits. Of the three blocks into which the bits are cut, a linked
 pair agrees on at least one, which is its own anchor (a code of radius 0). Of the other bits, 23 are covered by the anchors of
 the binary Golay code: it is perfect, every word lies within the covering radius 3 of exactly one code word. A fingerprint

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -46,7 +47,7 @@ def test_every_operator_takes_an_empty_table(empty):
     trained = langid.train(langid.labelled_sample(empty))
     for df in (
         exact_dedup.exact_dedup(empty), exact_dedup.keep_one(empty), secrets.scan_secrets(empty), media.media_features(empty), mixing.mix(empty), licenses.scan_licenses(empty),
-        simhash.near_duplicates(empty), simhash.keep_one(empty), mixing.read_in_order(empty), substring_dedup.dedup_substrings(empty), langid.identify(empty, trained), quality.classify(empty, empty.select("doc_id")),
+        simhash.near_duplicates(empty), simhash.keep_one(empty), pieces.piece_digests(empty, queries.piece_model()), pieces.encode_pieces(empty, queries.piece_model()), mixing.read_in_order(empty), substring_dedup.dedup_substrings(empty), langid.identify(empty, trained), quality.classify(empty, empty.select("doc_id")),
     ):
         assert df.collect() == []
 
@@ -352,6 +353,13 @@ def test_the_labelled_sample_is_bounded_in_rows_and_bytes(spark):
     assert few == langid.labelled_sample(df.repartition(5), most_bytes=500)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_language_id_on_documents_that_it_has_not_seen(spark):
+    langs = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in queries.op10_langid(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.lang_pred != "und" and langs[r.doc_id] is not None]
+    assert len(held) > 200 and sum(r.lang_pred == langs[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
 def test_language_id_learns():
     words = {"xx": "aba bab abba baab", "yy": "cdc dcd cddc dccd", "zz": "efe fef effe feef"}
     import random
@@ -397,6 +405,28 @@ def test_quality(spark, folder, docs, rows):
     assert all(r.kept == (r.perplexity is not None) for r in nothing)
 
 
+def test_quality_thresholds(spark, folder, rows):
+    """A language's threshold is a quantile of its trusted documents, for words of those not counted; kept needs both."""
+    got = queries.op1_quality(spark, folder).collect()
+    content = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    back = {i for i, t, *_ in rows if i is not None and 100 <= i < 130 and (content(t) - (content(t) >> 63 << 64)) % words_model.HELD_BACK == 0}
+    good = [r for r in got if r.doc_id is not None and 100 <= r.doc_id < 130]
+
+    def cut(values):
+        values = sorted(values)
+        return values[math.ceil(0.995 * len(values)) - 1] * 1.03 if values else None
+
+    own = {lang: cut([r.perplexity for r in good if r.lang == lang]) for lang in ("en", "de")}
+    own_words = {lang: cut([r.word_perplexity for r in good if r.lang == lang and r.doc_id in back]) for lang in ("en", "de")}
+    whole, whole_words = cut([r.perplexity for r in good]), cut([r.word_perplexity for r in good if r.doc_id in back])
+    assert back and all(own.values())
+    for r in got:
+        t, w = own.get(r.lang) or whole, own_words.get(r.lang) or whole_words
+        assert (r.threshold, r.word_threshold) == (pytest.approx(t), pytest.approx(w))
+        assert r.kept == (r.perplexity is not None and r.perplexity <= r.threshold and (r.word_perplexity is None or r.word_perplexity <= r.word_threshold))
+    assert {r.kept for r in got} == {True, False}
+
+
 def test_packed_vectors_round_trip():
     rng = np.random.default_rng(0)
     codes = np.unique(rng.integers(0, quality.CODES, 500)).astype(np.uint32)

@@ -40,6 +40,11 @@ def test_stages_and_run(spark, folder):
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, folder).collect()) == expected
 
 
+def test_run_on_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_mixing_of_an_empty_table(empty):
     assert mixing.read_in_order(empty).columns == empty.columns
 
