@@ -27,7 +27,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (SimHash, or 0.8 Jaccard similarity on five words), the document with the smallest id."""
+    """Of each group of near copies (SimHash, or 0.8 Jaccard similarity on five words), the document with the smallest id. Texts
+    without words, null ones included, are one group. A document without an id stays only where its whole group has none; ties
+    go to the smallest content hash; of rows that repeat both id and text one stays. An empty table gives an empty one."""
     return near_copies.keep_one(docs).select(docs.columns)
 
 
@@ -37,7 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens of each document, as digests."""
+    """Tokens of each document, as digests: one row for each row, repeated ones included; a null text counts as empty and has no
+    tokens."""
     return pieces.piece_digests(docs, piece_model())
 
 
