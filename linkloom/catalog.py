@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .operators import experiments, models, rules
 from .plans.decisions import QUERIES
+from .plans.learned import LEARNED
 from .plans.workspace import Workspace, oracle
-from .sources import tsv
+from .sources import reports, tsv
 from .streaming import incremental
 
 _workspaces: dict[tuple[str, str], Workspace] = {}
@@ -43,8 +44,11 @@ RENAMED = {"norm_names": "norm_name", "norm_addrs": "norm_addr", "token_idf_tabl
 #: Queries that are more than one relation.
 OTHERS: dict[str, Callable[[Workspace], DataFrame]] = {
     "scan_tsv_roundtrip": tsv.roundtrip,
+    "scan_json_roundtrip": reports.json_roundtrip,
+    "scan_csv_roundtrip": reports.report_roundtrip,
     "stage1_scores": models.stage1_scores,
     "stage2_scores": models.stage2_scores,
+    "feature_importances": models.importances,
     "pair_scorer": models.pair_scores,
     "choose_rule": rules.choose_rule,
     "learning_curve": experiments.learning_curve,
@@ -55,9 +59,9 @@ OTHERS: dict[str, Callable[[Workspace], DataFrame]] = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {RENAMED.get(n, n): partial(_relation, n) for n in QUERIES} | {n: partial(_other, f) for n, f in OTHERS.items()}
+    return {RENAMED.get(n, n): partial(_relation, n) for n in (*QUERIES, *LEARNED)} | {n: partial(_other, f) for n, f in OTHERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {n: oracle(n) for n in QUERIES}
-    return {RENAMED.get(n, n): q for n, q in found.items() if q} | {"scan_tsv_roundtrip": oracle("source_rows"), "stream_candidates": oracle("streamed")}
+    found = {n: oracle(n) for n in (*QUERIES, *LEARNED)}
+    return {RENAMED.get(n, n): q for n, q in found.items() if q} | {"scan_tsv_roundtrip": oracle("source_rows"), "scan_json_roundtrip": oracle("learn_lexicon"), "scan_csv_roundtrip": oracle("threshold_sweep"), "stream_candidates": oracle("streamed")}

@@ -35,6 +35,12 @@ class LinkConfig:
     alias_synonym: float = 0.7
     alias_rarity: float = 0.05
     keep_easy: int = 1_500_000
+    learn_pairs: int = 600_000
+    # Parameters of reports and samples.
+    sample: int = 50
+    batch: int = 256
+    report: int = 20
+    countries: tuple[str, ...] = ("de", "fr")
 
 
 _now: ContextVar[LinkConfig] = ContextVar("linkloom_config", default=LinkConfig())

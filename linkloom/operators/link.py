@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LinkConfig
-from ..plans.workspace import Workspace
+from ..plans.workspace import Workspace, shared_dir
 from ..sources.tsv import as_raw
 
 
@@ -31,5 +33,19 @@ class Linker:
     def relation(self, name: str) -> DataFrame:
         return self.workspace.relation(name)
 
+    def learned(self) -> Linker:
+        """A linker of the same sources whose records have the learned maps applied. What it learned from is written first;
+        replacements that a caller gives (fixed_tokens, fixed_addr_tokens) go to this one's workspace before."""
+        out = object.__new__(Linker)
+        ws = self.workspace
+        out.workspace = Workspace(ws.spark, ws.folder, ws.tables, ws.config)
+        for name in ("raw", "truth"):
+            out.workspace.give(name, ws.relation(name))
+        path = f"{shared_dir(ws.spark)}/linkloom-learned-{uuid.uuid4().hex}"
+        rows = ws.relation("mapped_records")
+        rows.write.parquet(path)
+        out.workspace.give("records", ws.spark.read.schema(rows.schema).parquet(path))
+        return out
+
     def result(self) -> DataFrame:
         return self.relation("result_table")

@@ -53,7 +53,7 @@ def source_rows(d: Dialect) -> str:
 
 @relation()
 def country_subset(d: Dialect) -> str:
-    return "SELECT num, src, name_n FROM @records WHERE country IN ('de', 'fr')"
+    return f"SELECT num, src, name_n FROM @records WHERE {d.one_of('country', C.countries)}"
 
 
 @relation()
@@ -150,48 +150,75 @@ def untranslated_tokens(d: Dialect) -> str:
 # ---- learned maps ----
 
 
-@relation()
-def name_places(d: Dialect) -> str:
-    """Tokens of names with their places."""
-    w = d.words("r.name_n")
+def places_of(d: Dialect, column: str) -> str:
+    """Tokens of a column of records with their places."""
+    w = d.words(f"r.{column}")
     if d.spark:
         return f"SELECT country, src, num, CAST(pos + 1 AS BIGINT) AS k, tok FROM (SELECT r.country, r.src, r.num, posexplode({w}) AS (pos, tok) FROM @records r) x"
     return f"SELECT country, src, num, CAST(k AS BIGINT) AS k, w[k] AS tok FROM (SELECT country, src, num, w, unnest(range(1, len(w) + 1)) AS k FROM (SELECT r.country, r.src, r.num, {w} AS w FROM @records r) z) x"
 
 
+@relation()
+def name_places(d: Dialect) -> str:
+    """Tokens of names with their places."""
+    return places_of(d, "name_n")
+
+
+def lexicon_pairs_of(d: Dialect, truth: str, places: str) -> str:
+    """Tokens beyond ASCII of a partner's text with the tokens of the record's, weighed by how near their places are."""
+    return f"""SELECT t.country, t.s1_num, t.src, t.b_num, b.tok AS tok, a.tok AS repl, 1.0 / (1 + abs(b.k - a.k)) AS w FROM {truth} t
+JOIN {places} a ON a.src = 1 AND a.country = t.country AND a.num = t.s1_num JOIN {places} b ON b.src = t.src AND b.country = t.country AND b.num = t.b_num WHERE NOT {ascii(d, 'b.tok')}"""
+
+
 @relation()
 def lexicon_pairs(d: Dialect) -> str:
-    """Tokens beyond ASCII of a partner's name with the tokens of the record's, weighed by how near their places are."""
-    return f"""SELECT t.country, t.s1_num, t.src, t.b_num, b.tok AS tok, a.tok AS repl, 1.0 / (1 + abs(b.k - a.k)) AS w FROM @truth t
-JOIN @name_places a ON a.src = 1 AND a.country = t.country AND a.num = t.s1_num JOIN @name_places b ON b.src = t.src AND b.country = t.country AND b.num = t.b_num WHERE NOT {ascii(d, 'b.tok')}"""
+    return lexicon_pairs_of(d, "@truth", "@name_places")
+
+
+def lexicon_of(pairs: str, by: str = "") -> str:
+    """The replacement of each token (within a column `by`) that stands nearest it most often, against the pairs that have either."""
+    pair = "concat(country, '-', CAST(s1_num AS VARCHAR(20)), '-', CAST(src AS VARCHAR(4)), '-', CAST(b_num AS VARCHAR(20)))"
+    c, w = (f"{by}, ", f"w.{by}, ") if by else ("", "")
+    on = (lambda t: f" AND {t}.{by} = w.{by}") if by else (lambda t: "")
+    return f"""SELECT {c}tok, repl, round(score, 6) AS score FROM (SELECT {w}w.tok, w.repl, w.w / (n.c + l.c - w.w) AS score, row_number() OVER (PARTITION BY {w}w.tok ORDER BY round(w.w / (n.c + l.c - w.w), 8) DESC, w.repl) AS rk FROM
+ (SELECT {c}tok, repl, CAST(sum(w) AS DOUBLE) AS w FROM {pairs} GROUP BY {c}tok, repl) w
+ JOIN (SELECT {c}tok, count(DISTINCT {pair}) AS c FROM {pairs} GROUP BY {c}tok) n ON n.tok = w.tok{on('n')}
+ JOIN (SELECT {c}repl, count(DISTINCT {pair}) AS c FROM {pairs} GROUP BY {c}repl) l ON l.repl = w.repl{on('l')}) x WHERE rk = 1 AND score >= 0"""
 
 
 @relation()
 def learn_lexicon(d: Dialect) -> str:
-    return """SELECT tok, repl, round(score, 6) AS score FROM (SELECT w.tok, w.repl, w.w / (n.c + l.c - w.w) AS score, row_number() OVER (PARTITION BY w.tok ORDER BY round(w.w / (n.c + l.c - w.w), 8) DESC, w.repl) AS rk FROM
- (SELECT tok, repl, CAST(sum(w) AS DOUBLE) AS w FROM @lexicon_pairs GROUP BY tok, repl) w
- JOIN (SELECT tok, count(DISTINCT concat(country, '-', CAST(s1_num AS VARCHAR(20)), '-', CAST(src AS VARCHAR(4)), '-', CAST(b_num AS VARCHAR(20)))) AS c FROM @lexicon_pairs GROUP BY tok) n ON n.tok = w.tok
- JOIN (SELECT repl, count(DISTINCT concat(country, '-', CAST(s1_num AS VARCHAR(20)), '-', CAST(src AS VARCHAR(4)), '-', CAST(b_num AS VARCHAR(20)))) AS c FROM @lexicon_pairs GROUP BY repl) l ON l.repl = w.repl) x WHERE rk = 1 AND score >= 0"""
+    """Replacements of name tokens beyond ASCII, from all true pairs."""
+    return lexicon_of("@lexicon_pairs")
+
+
+def missing_of(d: Dialect, column: str) -> str:
+    """Tokens that one record of a true pair has and the other lacks, both ways, where both have any."""
+    x, y = d.words(f"a.{column}"), d.words(f"b.{column}")
+    a = d.filter("(" + d.minus(y, x) + ")", "t", d.matches("t", "^[a-z]{3,}$"))
+    b = d.filter("(" + d.minus(x, y) + ")", "t", d.matches("t", "^[\\p{L}]{3,}$"))
+    return f"""SELECT t.country, t.s1_num, t.src, t.b_num, {a} AS extra, {b} AS gone FROM @learning_truth t JOIN @records a ON a.src = 1 AND a.country = t.country AND a.num = t.s1_num
+JOIN @records b ON b.src = t.src AND b.country = t.country AND b.num = t.b_num WHERE a.{column} <> '' AND b.{column} <> ''"""
 
 
 @relation()
 def missing_tokens(d: Dialect) -> str:
-    """Address tokens that one record of a true pair has and the other lacks, both ways."""
-    a = d.filter("(" + d.minus(d.words("b.addr_n"), d.words("a.addr_n")) + ")", "t", d.matches("t", "^[a-z]{3,}$"))
-    b = d.filter("(" + d.minus(d.words("a.addr_n"), d.words("b.addr_n")) + ")", "t", d.matches("t", "^[\\p{L}]{3,}$"))
-    return f"""SELECT t.country, t.s1_num, t.src, t.b_num, {a} AS extra, {b} AS gone FROM @truth t JOIN @records a ON a.src = 1 AND a.country = t.country AND a.num = t.s1_num
-JOIN @records b ON b.src = t.src AND b.country = t.country AND b.num = t.b_num WHERE a.addr_n <> '' AND b.addr_n <> ''"""
+    return missing_of(d, "addr_n")
 
 
-@relation()
-def alias_counts(d: Dialect) -> str:
+def alias_counts_of(d: Dialect, missing: str) -> str:
     """Each extra token, in how many pairs it is extra, and the token most often gone with it."""
-    lists = "(SELECT country, extra, gone FROM @missing_tokens WHERE {} > 0 AND {} > 0) p".format(d.size("extra"), d.size("gone"))
+    lists = "(SELECT country, extra, gone FROM {} WHERE {} > 0 AND {} > 0) p".format(missing, d.size("extra"), d.size("gone"))
     return f"""SELECT n.country, n.tok, n.n, c.repl, c.c FROM (SELECT country, tok, count(*) AS n FROM {lists}, {d.rows('extra', 'e', 'tok')} GROUP BY country, tok) n
 JOIN (SELECT country, tok, repl, c, row_number() OVER (PARTITION BY country, tok ORDER BY c DESC, repl) AS rk FROM (SELECT country, tok, repl, count(*) AS c FROM {lists}, {d.rows('extra', 'e', 'tok')}, {d.rows('gone', 'g', 'repl')} GROUP BY country, tok, repl) x) c
 ON c.country = n.country AND c.tok = n.tok AND c.rk = 1"""
 
 
+@relation()
+def alias_counts(d: Dialect) -> str:
+    return alias_counts_of(d, "@missing_tokens")
+
+
 @relation()
 def learn_alias_basic(d: Dialect) -> str:
     """Aliases by precision alone, without chains: a replacement is not itself replaced."""
@@ -267,7 +294,7 @@ MINED = """SELECT country, s1_num, src, b_num, p, y, g, pri FROM (SELECT *, 'har
 ORDER = "(s1_num * 2654435761 + b_num * 40503 + src) % 4294967296"
 
 
-def _ranked(rows: str, by: str, order: str) -> str:
+def ranked(rows: str, by: str, order: str) -> str:
     """rows (with a column part, whose order is the first of the order) with their rank within by, and the size of their group:
     counts of the parts, a running sum over those, and ranks within a part."""
     return f"""SELECT z.*, z.inner_rk + s.ahead AS rk, s.total FROM (SELECT *, {by} AS grp, row_number() OVER (PARTITION BY {by}, part ORDER BY {order}) AS inner_rk FROM {rows}) z
@@ -275,10 +302,10 @@ JOIN (SELECT grp, part, sum(n) OVER (PARTITION BY grp ORDER BY part ROWS BETWEEN
   FROM (SELECT {by} AS grp, part, count(*) AS n FROM {rows} GROUP BY {by}, part) c) s ON s.grp = z.grp AND s.part = z.part"""
 
 
-def _lowest(rows: str, by: str, most: str, order: str) -> str:
+def lowest(rows: str, by: str, most: str, order: str) -> str:
     """The rows of each group with the lowest o (ties by order), at most `most` (which may read total, the group's size)."""
     parted = f"(SELECT *, CAST(floor(o / 1048576.0) AS BIGINT) AS part FROM {rows}) r"
-    return f"SELECT * FROM ({_ranked(parted, by, f'o, {order}')}) v WHERE rk <= {most}"
+    return f"SELECT * FROM ({ranked(parted, by, f'o, {order}')}) v WHERE rk <= {most}"
 
 
 @relation()
@@ -289,13 +316,13 @@ def mine_groups(d: Dialect) -> str:
 @relation()
 def quota_sample(d: Dialect) -> str:
     """At most 20 pairs of each group, those with the lowest hash."""
-    return f"SELECT {PAIR}, g FROM ({_lowest(f'(SELECT *, {ORDER} AS o FROM ({MINED}) q) x', 'g', '20', 'country, s1_num, src, b_num')}) y"
+    return f"SELECT {PAIR}, g FROM ({lowest(f'(SELECT *, {ORDER} AS o FROM ({MINED}) q) x', 'g', '20', 'country, s1_num, src, b_num')}) y"
 
 
 @relation()
 def proportional_quota(d: Dialect) -> str:
     """A tenth of each country's pairs, rounded up, those with the lowest hash."""
-    return f"SELECT {PAIR} FROM ({_lowest(f'(SELECT {PAIR}, {ORDER} AS o FROM @predicted) x', 'country', 'ceil(total / 10.0)', 's1_num, src, b_num')}) y"
+    return f"SELECT {PAIR} FROM ({lowest(f'(SELECT {PAIR}, {ORDER} AS o FROM @predicted) x', 'country', 'ceil(total / 10.0)', 's1_num, src, b_num')}) y"
 
 
 @relation()
@@ -311,13 +338,13 @@ def v3_selection(d: Dialect) -> str:
     hard = f"{e} > 0.2 OR (p > 0.05 AND p < 0.95)"
     easy = f"(SELECT {PAIR}, p, {ORDER} AS o FROM @predicted WHERE NOT ({hard})) x"
     return f"""SELECT {PAIR}, p FROM @predicted WHERE {hard} UNION ALL SELECT {PAIR}, p FROM @predicted WHERE {e} > 0.5
-UNION ALL SELECT {PAIR}, p FROM ({_lowest(easy, "1", f"{C.keep_easy}", "country, s1_num, src, b_num")}) w"""
+UNION ALL SELECT {PAIR}, p FROM ({lowest(easy, "1", f"{C.keep_easy}", "country, s1_num, src, b_num")}) w"""
 
 
 @relation()
 def every_kth_row(d: Dialect) -> str:
     # The range of a row is its record's: records stand in their order, so ranges do as well.
-    return f"SELECT {PAIR} FROM ({_ranked('(SELECT ' + PAIR + ', CAST(floor(s1_num / 64.0) AS BIGINT) AS part FROM @predicted) x', 'country', 's1_num, src, b_num')}) y WHERE rk % 8 = 1"
+    return f"SELECT {PAIR} FROM ({ranked('(SELECT ' + PAIR + ', CAST(floor(s1_num / 64.0) AS BIGINT) AS part FROM @predicted) x', 'country', 's1_num, src, b_num')}) y WHERE rk % 8 = 1"
 
 
 @relation()

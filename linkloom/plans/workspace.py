@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import LinkConfig, using
 from ..functions import fold
-from . import decisions  # noqa: F401  (adds its relations)
+from . import decisions, learned  # noqa: F401  (add their relations)
 from .dialect import ORACLE, SPARK
 from .relations import RELATIONS, SPARK_ONLY, STORED
 
