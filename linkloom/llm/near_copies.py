@@ -192,8 +192,7 @@ def links(texts: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     mixed = materialise(named.join(mixed, ["band", "key"], "left_semi"), "copy-mixed")
     held = _shortened(texts.join(mixed.select("node").distinct(), "node", "left_semi"), size)
     held = materialise(held.groupBy("node").agg(F.min(F.struct("signature", "keys", "held")).alias("x")).select("node", "x.*"), "copy-shortened")
-    joining = materialise(_joining(mixed.join(held, "node"), least), "copy-joining")
-    return star.union(_similar(joining, texts, size, least))
+    return star.union(_similar(_joining(mixed.join(held, "node"), least), texts, size, least))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
@@ -207,10 +206,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     simhash = simhash.select("doc_id", F.col("content").alias("node"), group.alias("group"))
     lead = simhash.groupBy("group").agg(F.min("node").alias("a"))
-    near = materialise(simhash.join(lead, "group").where("a < node").select("a", F.col("node").alias("b")).distinct(), "copy-simhash")
+    near = simhash.join(lead, "group").where("a < node").select("a", F.col("node").alias("b"))
     roots = components(links(texts, size, least).union(near).distinct(), "copies")
     nodes = simhash.groupBy("node").agg(F.min("doc_id").alias("low")).join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    nodes = materialise(nodes, "copy-nodes")
     best = nodes.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("best"))
     key, who, node = fresh(docs, "key", "who", "node")
     kept = best.select(F.col("best.low").alias(who), F.col("best.node").alias(node))
