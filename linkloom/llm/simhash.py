@@ -129,7 +129,8 @@ def links(prints: DataFrame, most: int = 2) -> DataFrame:
     if not 0 <= most <= 2:
         raise ValueError("three blocks find pairs of at most 2 differing bits")
     homes, guests = _placed(prints, RADIUS, "a"), _placed(prints, RADIUS + most, "b")
-    met = homes.join(guests, (homes["key"] == guests["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most))
+    # Spark takes what a Python stage returns to be as large as what it reads, so it would broadcast the 66 guests of each print.
+    met = homes.hint("merge").join(guests, (homes["key"] == guests["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most))
     return met.select("a", "b").distinct()
 
 

@@ -10,9 +10,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from linkloom.llm import exact_dedup, langid, licenses, media, mixing, pieces, quality, queries, secrets, simhash, substring_dedup, webp
 from linkloom.llm import words as words_model
+from linkloom.llm.common import materialise
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -271,6 +273,15 @@ def test_anchors_meet_every_pair_and_components_chain(spark):
     assert len({roots[c] for c in ends}) == 1 and all(roots[a] == roots[b] for a, b in expected) and all(v <= k for k, v in roots.items())
 
 
+def test_simhash_does_not_broadcast_what_python_multiplies(spark):
+    prints = materialise(spark.range(400).select(F.xxhash64("id").alias("fp")), "test-prints").coalesce(1)
+    assert int(str(prints._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 10 << 20  # by Spark's estimate, small
+    pairs = simhash.links(prints)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert pairs.count() == 0
+
+
 def test_pieces(docs, rows):
     import sentencepiece
 
