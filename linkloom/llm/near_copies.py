@@ -184,7 +184,7 @@ def links(texts: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     every = materialise(_bands(texts, size), "copy-bands")
     met = every.select(F.posexplode("keys").alias("band", "key"), "node").distinct()
     first = met.groupBy("band", "key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key", "a")
-    shared = materialise(met.join(first, ["band", "key"]), "copy-shared")
+    shared = materialise(met.hint("merge").join(first, ["band", "key"]), "copy-shared")  # Spark's estimate is a quarter of these rows
     star = _similar(shared.where("a < node").select("a", F.col("node").alias("b")).distinct(), texts, size, least)
     root = components(star, "copy-stars")
     named = shared.select("band", "key", "node").join(root, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
