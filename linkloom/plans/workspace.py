@@ -58,11 +58,15 @@ class Workspace:
                 text = RELATIONS[name](SPARK)
             df = self.sql(text)
             if name in STORED:
-                path = f"{shared_dir(self.spark)}/linkloom-{name}-{uuid.uuid4().hex}"
-                df.write.parquet(path)
-                df = self.spark.read.schema(df.schema).parquet(path)
-            df.createOrReplaceTempView(self._view(name))
-            self.built[name] = df
+                return self.store(name, df)
+            self.give(name, df)
+        return self.built[name]
+
+    def store(self, name: str, df: DataFrame) -> DataFrame:
+        """Write df to the shared folder, and use it as a relation from there."""
+        path = f"{shared_dir(self.spark)}/linkloom-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.give(name, self.spark.read.schema(df.schema).parquet(path))
         return self.built[name]
 
     def sql(self, text: str) -> DataFrame:
