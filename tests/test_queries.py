@@ -60,3 +60,31 @@ def test_entry_and_registry(spark):
 def test_experiments(spark, name):
     rows = catalog.queries()[name](spark, FOLDER).collect()
     assert rows and all(r.auc is None or 0 <= r.auc <= 1 for r in rows)
+
+
+def test_experiments_compute_their_rows_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from linkloom.operators import experiments
+
+    ws, seen, made = catalog.workspace(spark, FOLDER), spark.sparkContext.accumulator(0), experiments.stage1_features
+
+    def features(ws):
+        look = F.udf(lambda u: seen.add(1) or u, "double").asNondeterministic()
+        return made(ws).withColumn("u", look("u"))
+
+    monkeypatch.setattr(experiments, "stage1_features", features)
+    ws.built.pop("experiment_rows", None)
+    for name in ("learning_curve", "unseen_country", "feature_ablation"):
+        catalog.queries()[name](spark, FOLDER).collect()
+    assert seen.value == made(ws).count()
+
+
+def test_measured_against_brute_force(spark):
+    from linkloom.operators.experiments import _measured
+
+    rows = [(k % 3 == 0, p) for k, p in enumerate([0.1, 0.9, 0.9, 0.4, 0.4, 0.4, 0.7, 0.2, 0.9, 0.5])]
+    yes, no = [p for y, p in rows if y], [p for y, p in rows if not y]
+    auc, loss = _measured(spark.createDataFrame(rows, "y boolean, p double"))
+    assert math.isclose(auc, sum((a > b) + (a == b) / 2 for a in yes for b in no) / len(yes) / len(no))
+    assert math.isclose(loss, sum(-math.log(p if y else 1 - p) for y, p in rows) / len(rows))
