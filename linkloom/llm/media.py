@@ -1,7 +1,7 @@
 """Media columns: payloads stored as lossless WebP, read back by the decoder, and described.
 
-A payload's bytes are 8-bit samples of the green channel, 64 to a row; a payload of more than 16,384 rows becomes several
-images, one after another. Texts of usual letter frequencies share one prefix code, given below by a rule, so most images
+A payload's bytes are grey 8-bit samples, 64 to a row; a payload of more than 16,384 rows becomes several images, one after
+another. Images have the transform that subtracts green, and back-references to what stands before. Texts of usual letter frequencies share one prefix code, given below by a rule, so most images
 neither search for a code nor build a decoding table; other payloads get codes of their own.
 """
 
@@ -25,12 +25,17 @@ FREQUENT = b" etaoinrshldcumgfpwybv,.\nkzjxqTAEISOWHBCDMP\xc3NRLFG0123456789"
 
 
 @functools.cache
-def usual_code() -> tuple[int, ...]:
+def usual_code() -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Code lengths of bytes and lengths of copies, and of distances."""
     order = [*dict.fromkeys(FREQUENT), *(b for b in range(256) if b not in FREQUENT)]
-    counts = np.zeros(256, np.int64)
+    counts, far = np.zeros(256 + webp.LENGTH_CODES, np.int64), np.zeros(webp.DISTANCE_CODES, np.int64)
     for k, b in enumerate(order):
         counts[b] = 60_000 // (k + 3) if k < len(FREQUENT) else 12
-    return tuple(webp._limited(counts, 14))
+    for k in range(5, webp.LENGTH_CODES):  # 8 bytes and more
+        counts[256 + k] = 6_000 // (k - 4)
+    far[13:] = 8  # 121 and more
+    far[16:26] = 64
+    return tuple(webp._limited(counts, 14)), tuple(webp._limited(far, 14))
 
 
 def padded(body: bytes) -> bytes:
@@ -41,8 +46,8 @@ def padded(body: bytes) -> bytes:
 def store(payload: bytes) -> bytes:
     """The images of a payload."""
     samples = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
-    parts = (samples[at : at + webp.MOST_SIDE] for at in range(0, len(samples), webp.MOST_SIDE))
-    return b"".join(webp.encode(np.uint32(webp.OPAQUE) | x.astype(np.uint32) << np.uint32(8), palette=False, usual=usual_code()) for x in parts)
+    parts = (samples[at : at + webp.MOST_SIDE].astype(np.uint32) * np.uint32(0x10101) for at in range(0, len(samples), webp.MOST_SIDE))
+    return b"".join(webp.encode(np.uint32(webp.OPAQUE) | x, palette=False, green=True, usual=usual_code(), copies=True) for x in parts)
 
 
 def load(media: bytes) -> np.ndarray:

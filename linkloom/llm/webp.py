@@ -26,6 +26,8 @@ NEIGHBOURS = (
 )
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LENGTH_CODES, DISTANCE_CODES = 24, 40
+#: Least length of copies found by sorting, and their largest distance.
+MATCH, MOST_BACK = 8, (1 << 20) - 120
 CACHE_FACTOR = 0x1E35A7BD
 OPAQUE = 0xFF000000
 MOST_SIDE = 1 << 14
@@ -308,6 +310,23 @@ def _level_pixels(r: BitReader, group: list[PrefixCode], n: int) -> np.ndarray |
     return alpha << np.uint32(24) | red << np.uint32(16) | g << np.uint32(8) | blue
 
 
+_last_read: dict[tuple[int, ...], tuple[int, int, list[PrefixCode]]] = {}
+
+
+def _read_codes(r: BitReader, alphabets: tuple[int, ...]) -> list[PrefixCode]:
+    """The codes of a group; where its bits are those of the group read last, they need not be taken apart again."""
+    at = r.at
+    if alphabets in _last_read:
+        bits, n, codes = _last_read[alphabets]
+        if at + n <= r.size and r.read(n) == bits:
+            return codes
+        r.at = at
+    codes = [read_code(r, a) for a in alphabets]
+    n, r.at = r.at - at, at
+    _last_read[alphabets] = r.read(n), n, codes
+    return codes
+
+
 def _read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = r.read(4) if r.read(1) else 0
     if cache_bits > 11:
@@ -320,7 +339,7 @@ def _read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
         meta = (image >> 8 & 0xFFFF).tolist()
         groups = int((image >> 8 & 0xFFFF).max()) + 1
     cache_size = (1 << cache_bits) if cache_bits else 0
-    codes = [[read_code(r, a) for a in (256 + LENGTH_CODES + cache_size, 256, 256, 256, DISTANCE_CODES)] for _ in range(groups)]
+    codes = [_read_codes(r, (256 + LENGTH_CODES + cache_size, 256, 256, 256, DISTANCE_CODES)) for _ in range(groups)]
     n = width * height
     if groups == 1:
         flat = _level_pixels(r, codes[0], n)
@@ -337,33 +356,54 @@ def _read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
     green, red, blue, alpha, far = tables[0]
     if groups == 1 and windows and not any(c.bits for c in codes[0][1:4]):  # only the green channel has codes
         rest = np.uint32(codes[0][1].table[0] >> 4 << 16 | codes[0][2].table[0] >> 4 | codes[0][3].table[0] >> 4 << 24)
-        table, mask = green
+        (table, mask), (far_table, far_mask) = green, far
         found, stop = [], n - 3
-        while k < stop and at < size:
+        while k < n and at < size:
             w = windows[at >> 3] >> (at & 7)
             a = table[w & mask]
             w >>= a & 15
-            b = table[w & mask]
-            w >>= b & 15
-            c = table[w & mask]
-            if a >= 4096 or b >= 4096 or c >= 4096:
-                break
-            found += (a >> 4, b >> 4, c >> 4)
-            at += (a & 15) + (b & 15) + (c & 15)
-            k += 3
-        out[:k] = (np.array(found, np.uint32) << np.uint32(8) | rest).tolist() if k < n - 3 else [0] * k
-        if k >= stop:  # the last few
-            while k < n and at < size:
-                e = table[windows[at >> 3] >> (at & 7) & mask]
-                if e >= 4096:
-                    break
-                found.append(e >> 4)
-                at += e & 15
+            if a < 4096:
+                b = table[w & mask]
+                if b < 4096 and k < stop:
+                    w >>= b & 15
+                    c = table[w & mask]
+                    if c < 4096:
+                        found += (a >> 4, b >> 4, c >> 4)
+                        at += (a & 15) + (b & 15) + (c & 15)
+                        k += 3
+                        continue
+                found.append(a >> 4)
+                at += a & 15
                 k += 1
-            if k == n and at <= size:
-                r.at = at
-                return (np.array(found, np.uint32) << np.uint32(8) | rest).reshape(height, width)
-            out[:k] = (np.array(found, np.uint32) << np.uint32(8) | rest).tolist()
+                continue
+            s = (a >> 4) - 256
+            if s >= LENGTH_CODES:
+                break
+            at += a & 15
+            extra = max(0, (s - 2) >> 1)
+            length = s + 1 if s < 4 else ((2 + (s & 1)) << extra) + (w & ((1 << extra) - 1)) + 1
+            at += extra
+            w = windows[at >> 3] >> (at & 7)
+            e = far_table[w & far_mask]
+            w >>= e & 15
+            s = e >> 4
+            extra = max(0, (s - 2) >> 1)
+            code = s + 1 if s < 4 else ((2 + (s & 1)) << extra) + (w & ((1 << extra) - 1)) + 1
+            at += (e & 15) + extra
+            if code > PLANE_CODES:
+                back = code - PLANE_CODES
+            else:
+                x, y = NEIGHBOURS[code - 1]
+                back = max(1, x + y * width)
+            if back > k or k + length > n:
+                raise ValueError("a back-reference leaves the image")
+            found += found[k - back : k - back + length] if back >= length else (found[k - back :] * (length // back + 1))[:length]
+            k += length
+        pixels = np.array(found, np.uint32) << np.uint32(8) | rest
+        if k == n and at <= size:
+            r.at = at
+            return pixels.reshape(height, width)
+        out[:k] = pixels.tolist()
     while k < n:
         if meta is not None:
             green, red, blue, alpha, far = tables[meta[k // width >> meta_bits][k % width >> meta_bits]]
@@ -610,17 +650,91 @@ def _tokens(flat: list[int], width: int, cache_bits: int, search: bool) -> list[
     return out
 
 
+def _matches(flat: np.ndarray) -> np.ndarray:
+    """Copies (start, length, distance) in a row of bytes, in order and apart: stretches in which every MATCH bytes stand before,
+    all at one distance from where they stood last."""
+    n = len(flat) - MATCH + 1
+    if n < 2:
+        return np.zeros((0, 3), np.int64)
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, MATCH)).view("<u8")[:, 0]
+    order = np.argsort(key, kind="stable")
+    sorted_keys = key[order]
+    again = np.flatnonzero(sorted_keys[1:] == sorted_keys[:-1])
+    back = np.zeros(n, np.int64)
+    back[order[again + 1]] = order[again + 1] - order[again]
+    back[back > MOST_BACK] = 0
+    starts = np.concatenate(([0], np.flatnonzero(back[1:] != back[:-1]) + 1))
+    ends, far = np.concatenate((starts[1:], [n])) + MATCH - 1, back[starts]
+    held = far > 0
+    out, at = [], 0
+    for s, e, d in zip(starts[held].tolist(), ends[held].tolist(), far[held].tolist(), strict=True):
+        s = max(s, at)
+        while e - s >= MATCH:
+            m = min(e - s, 4096)
+            out.append((s, m, d))
+            s += m
+        at = s
+    return np.array(out, np.int64).reshape(-1, 3)
+
+
+def _value_prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_value_prefix() of values of 5 and more."""
+    v = v - 1
+    high = np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1
+    second = v >> (high - 1) & 1
+    return 2 * high + second, v - ((2 + second) << (high - 1)), high - 1
+
+
+@functools.cache
+def _only(symbol: int) -> tuple[int, ...]:
+    return tuple(int(c == symbol) for c in range(256))
+
+
+def _write_copies(w: BitWriter, image: np.ndarray, usual: tuple[tuple[int, ...], tuple[int, ...]] | None) -> None:
+    """The pixels of an image whose other channels are constant, as literals and copies."""
+    flat = (image.ravel() >> np.uint32(8)).astype(np.uint8)
+    starts, lengths, back = _matches(flat).T
+    inside = np.zeros(len(flat) + 1, np.int64)
+    inside[starts] += 1
+    inside[starts + lengths] -= 1
+    literals = flat[np.cumsum(inside[:-1]) == 0]
+    (size, size_extra, size_bits), (far, far_extra, far_bits) = _value_prefixes(lengths), _value_prefixes(back + PLANE_CODES)
+    size = size + 256
+    counts = np.bincount(literals, minlength=256 + LENGTH_CODES) + np.bincount(size, minlength=256 + LENGTH_CODES)
+    if usual is not None and int(counts @ np.array(usual[0])) <= 7 * int(counts.sum()):
+        green, distance = usual
+    else:
+        green, distance = tuple(_limited(counts, 15)), tuple(_limited(np.bincount(far, minlength=DISTANCE_CODES), 15))
+    write_code(w, green)
+    pixel = int(image[0, 0])
+    for k in (16, 0, 24):
+        write_code(w, _only(pixel >> k & 255))
+    write_code(w, distance)
+    (v, n), (fv, fn) = _codes_of(green), _codes_of(distance)
+    values, sizes = v[literals], n[literals]
+    if len(starts):
+        before = np.repeat(starts - (np.cumsum(lengths) - lengths), 4)  # literals in front of each copy
+        values = np.insert(values, before, np.stack((v[size], size_extra, fv[far], far_extra), 1).ravel())
+        sizes = np.insert(sizes, before, np.stack((n[size], size_bits, fn[far], far_bits), 1).ravel())
+    w.extend(values, sizes)
+
+
 def _if_short(counts: np.ndarray, usual: tuple[int, ...]) -> tuple[int, ...] | None:
     """The usual code, unless it takes more than seven bits a symbol."""
     return usual if int(counts @ np.array(usual)) <= 7 * int(counts.sum()) else None
 
 
-def _write_image(w: BitWriter, image: np.ndarray, main: bool, level: bool = False, cache_bits: int = 0, search: bool = False, usual: tuple[int, ...] | None = None) -> None:
+def _write_image(w: BitWriter, image: np.ndarray, main: bool, level: bool = False, cache_bits: int = 0, search: bool = False, usual: tuple | None = None, copies: bool = False) -> None:
     w.write(int(cache_bits > 0), 1)
     w.write(cache_bits, 4 if cache_bits else 0)
     if main:
         w.write(0, 1)
     flat = image.ravel()
+    if copies and not cache_bits and ((flat ^ flat[0]) & np.uint32(0xFFFF00FF) == 0).all():
+        _write_copies(w, image, usual)
+        return
+    if copies:
+        usual = None
     if not cache_bits and not search:
         parts = [(flat >> np.uint32(k) & np.uint32(255)).astype(np.int64) for k in (8, 16, 0, 24)]
         lengths = []
@@ -674,13 +788,14 @@ def _write_image(w: BitWriter, image: np.ndarray, main: bool, level: bool = Fals
             put(0, 256 + LENGTH_CODES + x[0])
 
 
-def encode(image: np.ndarray, palette: bool = True, green: bool = False, cross: int | None = None, predictor: int | None = None, level: bool = False, cache_bits: int = 0, search: bool = False, usual: tuple[int, ...] | None = None) -> bytes:
+def encode(image: np.ndarray, palette: bool = True, green: bool = False, cross: int | None = None, predictor: int | None = None, level: bool = False, cache_bits: int = 0, search: bool = False, usual: tuple | None = None, copies: bool = False) -> bytes:
     """A RIFF file that decode() turns into the same pixels.
 
     palette: index colours if there are at most 256. green: subtract the green channel. cross: one cross-colour element for
     every block. predictor: one mode for every block (15: modes in turn). level: codes of one length for each channel.
     cache_bits, search: use a colour cache of this many bits, and back-references. usual: code lengths of the
-    green channel to use where they do well, so that images need no code of their own."""
+    green channel to use where they do well, so that images need no code of their own. copies: back-references found by sorting,
+    for images whose only varying channel (after the transforms) is green; usual is then such lengths and those of distances."""
     height, width = image.shape
     if not (0 < height <= MOST_SIDE and 0 < width <= MOST_SIDE):
         raise ValueError("a side must have 1 to 16384 pixels")
@@ -720,7 +835,7 @@ def encode(image: np.ndarray, palette: bool = True, green: bool = False, cross:
                 index = (index << (np.arange(1 << bits, dtype=np.uint32) * np.uint32(8 >> bits))).sum(2, dtype=np.uint32)
             image = np.uint32(OPAQUE) | index << np.uint32(8)
     w.write(0, 1)
-    _write_image(w, image, True, level, cache_bits, search, usual)
+    _write_image(w, image, True, level, cache_bits, search, usual, copies)
     body = w.bytes()
     body += bytes(len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body

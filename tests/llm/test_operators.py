@@ -497,3 +497,16 @@ def test_a_line_repeated_within_a_few_documents_is_salted(spark):
     sizes = [r.n for r in substring_dedup._runs(source, marks, 50, 30, 16).groupBy("seed", "salt").agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) > 1000 and max(sizes) < 50
     same(substring_dedup.dedup_substrings(docs, hot_share=0.02), list(brute_windows([(i, t, None) for i, t in rows])))
+
+
+def test_media_stores_copies_and_a_transform():
+    r = np.random.default_rng(3)
+    noise = r.integers(0, 256, 5000, np.uint8).tobytes()
+    text = b"the quick brown fox jumps over a lazy dog, and again "
+    for body in (b"", b"a", bytes(64), b"ab" * 3000, b"x" * 9000, noise, noise + noise[100:4000], text * 40, b"\n".join(text[k:] + text[:k] for k in range(50)), text * 25_000, noise[:3] + b"\xff" * 70):
+        payload = media.padded(body)
+        stored = media.store(payload)
+        assert media.load(stored).tobytes() == payload
+        assert stored[25] & 1 and stored[25] >> 1 & 3 == webp.SUBTRACT_GREEN
+        if len(body) > 2000 and body != noise:
+            assert len(stored) < len(body) * (0.7 if body.startswith(noise) else 0.2)
