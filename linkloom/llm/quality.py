@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, lean, materialise
+from .common import as_bytes, batched, lean, materialise, shuffles_dropped
 
 CLASSES, BITS = 64, 6
 CODES = 1 << 3 * BITS
@@ -226,18 +226,26 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     gives an empty result."""
     from .words import held_back, word_perplexities
 
-    source = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    source = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     ids = materialise(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "trusted-ids")
     n = ids.count()
     trusted = source.join(F.broadcast(ids) if n <= FEW_IDS else ids, "doc_id", "left_semi")
+    if n > FEW_IDS:  # it is read once a round
+        with shuffles_dropped(docs.sparkSession):
+            trusted = materialise(trusted, "trusted")
     counts = materialise(_counted(trusted.select("text")), "trigrams")
     scores = perplexities(source, counts)
-    rows = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("content"))
+    rows = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("content"), F.xxhash64(F.col(id_col).cast("long"), text).alias("ident"))
     s = scores.select(F.col("doc_id").alias("id"), F.col("content").alias("of"), "perplexity")
-    w = word_perplexities(source, trusted.where(~held_back(F.xxhash64("text"))).select("text")).select(F.col("doc_id").alias("wid"), F.col("content").alias("wof"), "word_perplexity")
+    w = word_perplexities(source.select(F.xxhash64("doc_id", "text").alias("ident"), "text"), trusted.where(~held_back(F.xxhash64("text"))).select("text"))
     scored = rows.join(s, rows["doc_id"].eqNullSafe(s["id"]) & (rows["content"] == s["of"]), "left")
-    scored = scored.join(w, scored["doc_id"].eqNullSafe(w["wid"]) & (scored["content"] == w["wof"]), "left").select("doc_id", "lang", "content", "perplexity", "word_perplexity")
-    scored = materialise(scored, "perplexities")
+    if w is None:
+        scored = scored.withColumn("word_perplexity", F.lit(None).cast("double"))
+    else:
+        scored = scored.join(w.withColumnRenamed("ident", "wid"), scored["ident"] == F.col("wid"), "left")
+    with shuffles_dropped(docs.sparkSession):
+        scored = materialise(scored.select("doc_id", "lang", "content", "perplexity", "word_perplexity"), "perplexities")
     good = scored.join(ids, "doc_id", "left_semi").where("perplexity is not null")
 
     def cut(of: str):

@@ -1,65 +1,151 @@
 """Word perplexity: an interpolated modified Kneser-Ney trigram model over an open vocabulary of hashed words.
 
-The log probability of a text splits into one number for each word, pair and triple of words of it; what the trusted text
-lacks counts 0, which is backing off. So the model is a table of n-gram keys and numbers, counted and joined in Spark, which
-grows with the trusted text; scoring looks up a document's n-grams. Both are dealt over shards by ranges of the hash, so a
-frequent word is one key like any other. A chunk of documents sends each shard its distinct (n-gram, document) once.
+Triples of words are dealt over shards by their middle word, those of a very frequent middle word over several shards by the
+first word too. A shard then holds all that the probabilities of its triples need, but for what it asks of others: how many
+words each last word follows, and, for its frequent middle words, the pairs that other shards hold. These answers are dealt
+by last word, one entry for each (word, shard). Documents send their triples to the same shards, where the model of a shard is
+built and used at once; it is stored nowhere. The log probability of a text is that of its words, by their shards, plus what
+its triples' shards add to it. All this is done in rounds over fixed parts of the shards, and what a round shuffles is deleted
+behind it, so that the disk never holds all triples; each round reads the whole text again.
 """
 
 from __future__ import annotations
 
-import math
 import struct
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batched, materialise
-from .quality import _content, _unvarint, _varint, discounts
+from .common import as_bytes, batched, drop_scratch, materialise, shuffles_dropped
+from .quality import _unvarint, _varint, discounts
 
-KEY_BITS = 48
-#: Words, pairs and triples of the trusted text that one shard holds at most, about.
-SHARD_KEYS = 2_000_000
+#: Parts of the shards that are scored, or counted, one after the other.
+ROUNDS, COUNT_ROUNDS = 10, 2
+#: Trusted triples that one shard holds, about; words in the middle of half as many are dealt over several shards.
+SHARD_TRIPLES = 2_000_000
+HOT_TRIPLES = SHARD_TRIPLES // 2
 #: One trusted text in so many, by content hash, is not counted: thresholds of word perplexity come from these.
 HELD_BACK = 5
-START, END = 1, 2
+START, END, WORD_BITS = 1, 2, 48
+#: Kinds of rows. Answers come first in a shard, then trusted text, then documents.
+WORDS, HOT_PAIRS, KNOWN_WORDS, TRUSTED, DOC_WORDS, DOC_TRIPLES, HIGH, LOW, FOLLOWS = range(9)
+ROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("packed", pa.binary()), ("told", pa.list_(pa.int64()))])
+ROW_DDL = "shard int, kind int, packed binary, told array<long>"
+SUMS = pa.schema([("ident", pa.int64()), ("logp", pa.float64()), ("n", pa.int64())])
+SUMS_DDL = "ident long, logp double, n long"
 
 
 def held_back(content):
     return F.pmod(content, F.lit(HELD_BACK)) == 0
 
 
-def word_hashes(text: bytes, known: dict) -> np.ndarray:
-    """Hashes of the words between white space, as they stand, with two starts before and an end behind them."""
-    out = [START, START]
-    for w in text.split():
-        h = known.get(w)
-        if h is None:
-            known[w] = h = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array([*out, END], np.uint64)
-
-
 def key_of(*words: np.ndarray) -> np.ndarray:
-    """48-bit keys of words, pairs or triples of word hashes."""
+    """64-bit keys of words, pairs or triples of word hashes."""
     h = np.full(len(words[0]), len(words), np.uint64)
     for w in words:
-        h = (h ^ w) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= w
+        h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    return h >> np.uint64(64 - KEY_BITS)
+    return h
+
+
+class Deal(NamedTuple):
+    """Which shard a triple or a word belongs to. hot: words that are dealt over several, in order; parts: over how many."""
+
+    shards: int
+    hot: np.ndarray
+    parts: np.ndarray
+
+    def is_hot(self, b: np.ndarray) -> np.ndarray:
+        return self.hot[np.searchsorted(self.hot[:-1], b)] == b
+
+    def triple(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        part = np.zeros(len(b), np.uint64)
+        at = np.flatnonzero(self.is_hot(b)) if len(self.hot) > 1 else np.zeros(0, np.int64)
+        part[at] = key_of(a[at]) % self.parts[np.searchsorted(self.hot[:-1], b[at])]
+        return (key_of(b, part) % np.uint64(self.shards)).astype(np.uint32)
+
+    def word(self, c: np.ndarray) -> np.ndarray:
+        return (key_of(c) % np.uint64(self.shards)).astype(np.uint32)
+
+    def shards_of(self, b: int) -> list[int]:
+        """All shards of a hot word."""
+        n = int(self.parts[np.searchsorted(self.hot[:-1], np.uint64(b))])
+        return np.unique(key_of(np.full(n, b, np.uint64), np.arange(n, dtype=np.uint64)) % np.uint64(self.shards)).tolist()
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BASE = 0x9E3779B97F4A7C15
+LETTERS = key_of(np.arange(256, dtype=np.uint64))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base % (1 << 64), np.uint64)]))
+
+
+class Words:
+    """Hashes of the words of texts: a word is the sum of its bytes' numbers times powers of BASE, mixed."""
 
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
 
-def _chunks(b: pa.RecordBatch, texts: int, most: int = 400_000):
-    """Slices of a batch, of about so many bytes of text or one row."""
+    def hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """48-bit hashes of the words between white space, as they stand, and where they start."""
+        if len(self.up) <= len(data):
+            self.up, self.down = _powers(BASE, len(data)), _powers(pow(BASE, -1, 1 << 64), len(data))
+        edge = np.concatenate([[True], SPACE[data], [True]])
+        edges = np.flatnonzero(edge[1:] != edge[:-1])
+        first, last = edges[::2], edges[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTERS[data] * self.up[: len(data)], dtype=np.uint64)])
+        return key_of((sums[last] - sums[first]) * self.down[first]) >> np.uint64(64 - WORD_BITS), first
+
+    def triples(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """a, b, c of the triples of words of each text, with two starts before and an end behind; and each one's text."""
+        words, first = self.hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        until = np.searchsorted(first, ends)
+        sizes = np.diff(until, prepend=0)
+        p = np.full(len(words) + 3 * len(texts), START, np.uint64)
+        ends = np.cumsum(sizes + 3)
+        inner = np.ones(len(p), bool)
+        inner[ends - 1] = inner[ends - sizes - 2] = inner[ends - sizes - 3] = False
+        p[inner] = words
+        p[ends - 1] = END
+        inner[ends - sizes - 2] = True  # the second start is a middle word
+        i = np.flatnonzero(inner)
+        return p[i - 1], p[i], p[i + 1], np.repeat(np.arange(len(texts)), sizes + 1)
+
+
+def pack(columns: list[np.ndarray], numbers: list[np.ndarray] = ()) -> bytes:
+    """Columns of 48-bit words and small numbers, all of one length."""
+    wide = [np.ascontiguousarray(c, np.uint64).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for c in columns]
+    return b"".join([struct.pack("<I", len(columns[0])), *wide, _varint(np.concatenate(numbers)) if len(numbers) and len(columns[0]) else b""])
+
+
+def unpack(data: bytes, columns: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    (n,) = struct.unpack_from("<I", data)
+    x = np.zeros((columns * n, 8), np.uint8)
+    x[:, :6] = np.frombuffer(data, np.uint8, 6 * n * columns, 4).reshape(-1, 6)
+    words, rest = x.view(np.uint64).ravel(), data[4 + 6 * n * columns :]
+    v = _unvarint(rest).astype(np.int64) if rest else np.zeros(0, np.int64)
+    return [words[k * n : (k + 1) * n] for k in range(columns)], [v[k : k + n] for k in range(0, len(v), n)]
+
+
+def _chunks(b: pa.RecordBatch, texts: int, most: int = 3_200_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, of about so many bytes of text or one row; never over 60,000 rows."""
     sizes = np.array([len(x) for x in as_bytes(b.column(texts))])
     start, held = 0, 0
     for k, size in enumerate(sizes.tolist()):
-        if k > start and held + size > most * 8:
+        if k > start and (held + size > most or k - start >= 60_000):
             yield b.slice(start, k - start)
             start, held = k, 0
         held += size
@@ -67,180 +153,383 @@ def _chunks(b: pa.RecordBatch, texts: int, most: int = 400_000):
         yield b.slice(start)
 
 
-def _word_counts(trusted: DataFrame) -> DataFrame:
-    """a, b, c, n: counts of word triples; chunks of documents are added up before they are handed on."""
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before, and the end."""
+    n = len(columns[0])
+    new = np.ones(n + 1, bool)
+    if n:
+        new[1:n] = reduce(np.logical_or, [c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new) if n else np.zeros(1, np.int64)
 
-    def run(batches):
-        known: dict = {}
-        for whole in batches:
-            for b in _chunks(whole, 0):
-                if len(known) > 500_000:
-                    known.clear()
-                s = [word_hashes(t, known) for t in as_bytes(b.column(0)) if t]
-                if not s:
-                    continue
-                tri = np.stack([np.concatenate([x[k : len(x) - 2 + k] for x in s]) for k in range(3)])
-                order = np.lexsort(tri)
-                tri = tri[:, order]
-                first = np.flatnonzero(np.concatenate([[True], (tri[:, 1:] != tri[:, :-1]).any(0)]))
-                n = np.diff(np.concatenate([first, [tri.shape[1]]]))
-                for k in range(0, len(first), 20_000):
-                    at = first[k : k + 20_000]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(t[at].view(np.int64)) for t in tri), pa.array(n[k : k + 20_000])], ["a", "b", "c", "n"])
-
-    return trusted.mapInArrow(run, "a long, b long, c long, n long").groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
-
-
-def _occurs(counts: DataFrame) -> tuple[float, float, float]:
-    n = {r[0]: r[1] for r in counts.groupBy(F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # 5 rows
-    return discounts([n.get(k, 0) for k in (1, 2, 3, 4)])
-
-
-def _contexts(counts: DataFrame, by: list[str], d) -> DataFrame:
-    """by, total and rest (the share that backs off) of every context."""
-    less = sum(F.sum((F.least("n", F.lit(3)) == k + 1).cast("long")) * F.lit(d[k]) for k in range(3))
-    return counts.groupBy(*by).agg(F.sum("n").alias("total"), less.alias("less")).select(*by, "total", (F.col("less") / F.col("total")).alias("rest"))
-
-
-def word_model(trusted: DataFrame) -> tuple[DataFrame, float | None]:
-    """key, value for every word, pair and triple of the trusted texts (column text), and the logarithm of an unknown
-    word's probability, None without trusted text. The log probability of a text is that of its number of predicted words
-    (the end is one, the starts aren't) unknown words, plus the values of its words, pairs and triples, each occurrence
-    (one of the two starts) once."""
-    tri = materialise(_word_counts(trusted), "word-triples")
-    two = materialise(tri.groupBy("b", "c").agg(F.count(F.lit(1)).alias("n")), "word-pairs")
-    one = materialise(two.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "words")
-    kinds, total = one.agg(F.count(F.lit(1)), F.sum("n")).first()
-    unknown = 0.5 * kinds / total / (kinds + 1) if kinds else None
-
-    def kept(d):
-        return F.col("n") - F.element_at(F.array(*map(F.lit, d)), F.least("n", F.lit(3)).cast("int"))
-
-    high, low = _occurs(tri), _occurs(two)
-    ab, b = _contexts(tri, ["a", "b"], high), _contexts(two, ["b"], low)
-    p1 = one.select("c", ((F.col("n") - 0.5) / F.lit(float(total or 1)) + F.lit(unknown or 1.0)).alias("p1"))
-    p2 = two.join(b, "b").join(p1, "c").select("b", "c", (kept(low) / F.col("total")).alias("own"), (F.col("rest") * F.col("p1")).alias("under"))
-    p2 = materialise(p2.select("b", "c", (F.col("own") + F.col("under")).alias("p2"), F.log1p(F.col("own") / F.col("under")).alias("value")), "word-pair-values")
-    under = F.col("rest") * F.col("p2")
-    none = F.lit(None).cast("long")
-    triples = tri.join(ab, ["a", "b"]).join(p2.drop("value"), ["b", "c"]).select("a", "b", "c", F.log1p(kept(high) / F.col("total") / under).alias("value"))
-    pairs = p2.select(F.col("b").alias("a"), F.col("c").alias("b"), "value").union(ab.select("a", "b", F.log("rest"))).groupBy("a", "b").agg(F.sum("value").alias("value"))
-    words = p1.select(F.col("c").alias("a"), (F.log("p1") - F.lit(math.log(unknown or 1.0))).alias("value")).union(b.select("b", F.log("rest"))).groupBy("a").agg(F.sum("value").alias("value"))
-    every = triples.union(pairs.select("a", "b", none, "value")).union(words.select("a", none, none, "value"))
 
-    def run(batches):
-        for x in batches:
-            cols = [x.column(k) for k in range(3)]
-            order = 3 - sum(np.asarray(c.is_null()).astype(int) for c in cols)
-            w = [np.asarray(c.fill_null(0)).astype(np.int64).view(np.uint64) for c in cols]
-            key = np.select([order == 1, order == 2], [key_of(w[0]), key_of(*w[:2])], key_of(*w))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), x.column(3)], ["key", "value"])
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    return np.argsort(shard.astype(np.uint16) if not len(shard) or shard.max() < 1 << 16 else shard, kind="stable")
 
-    return materialise(every.mapInArrow(run, "key long, value double"), "word-model"), None if unknown is None else math.log(unknown)
 
+def _slices(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Of shard numbers in order: each, and where it stands."""
+    cuts = _cuts(shard).tolist()
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        yield int(shard[i]), slice(i, j)
 
-SENT = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("value", pa.float64()), ("packed", pa.binary())])
-SENT_DDL = "shard int, kind int, key long, value double, packed binary"
-SUMS = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("logp", pa.float64()), ("n", pa.int64())])
-HEAD, DOC = "<II", "<?qqI"
 
+def _dealer(trusted: DataFrame) -> Deal | None:
+    """How to deal the trusted text; None if it has no text. Words in the middle of many triples are told by those that make
+    up a thousandth of a chunk: a word that is missed so is dealt like any other, and the result is the same."""
 
-def pack(key: np.ndarray, place: np.ndarray, n: np.ndarray) -> bytes:
-    """Keys in order, each with the place of its document and its count."""
-    return _varint(np.concatenate([np.diff(key, prepend=np.uint64(0)), place.astype(np.uint64) << np.uint64(1) | (n > 1), n[n > 1].astype(np.uint64)]))
+    def run(batches):
+        words = Words()
+        for whole in batches:
+            for x in _chunks(whole, 0):
+                texts = [t for t in as_bytes(x.column(0)) if t]
+                if texts:
+                    b, n = np.unique(words.triples(texts)[1], return_counts=True)
+                    much = n * 1000 >= n.sum()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(b[much].astype(np.int64), -1)), pa.array(np.append(n[much], n.sum()))], ["word", "n"])
+
+    told = trusted.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = {r[0]: r[1] for r in told.where((F.col("word") < 0) | (F.col("n") >= HOT_TRIPLES)).collect()}  # by HOT_TRIPLES at least of the text each
+    total = found.pop(-1, 0)
+    if not total:
+        return None
+    hot = sorted(found)
+    each = max(2 * trusted.sparkSession.sparkContext.defaultParallelism, -(-total // (ROUNDS * SHARD_TRIPLES)))
+    return Deal(ROUNDS * each, np.array([*hot, 1 << 63], np.uint64), np.array([*(-(-found[w] // HOT_TRIPLES) + 1 for w in hot), 1], np.uint64))
+
+
+def _sent_triples(trusted: DataFrame, deal: Deal, rounds: int, r: int) -> DataFrame:
+    """For each chunk of trusted texts and shard of the round one row: distinct triples and their counts."""
 
+    def run(batches):
+        words = Words()
 
-def unpack(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    v = _unvarint(data)
-    n = np.ones(size, np.int64)
-    n[(v[size : 2 * size] & np.uint64(1)).astype(bool)] = v[2 * size :]
-    return np.cumsum(v[:size], dtype=np.uint64), (v[size : 2 * size] >> np.uint64(1)).astype(np.int64), n
+        def rows():
+            for whole in batches:
+                for x in _chunks(whole, 0):
+                    texts = [t for t in as_bytes(x.column(0)) if t]
+                    if not texts:
+                        continue
+                    a, b, c, _ = words.triples(texts)
+                    g = deal.triple(a, b)
+                    mine = g % rounds == r
+                    a, b, c, g = a[mine], b[mine], c[mine], g[mine]
+                    order = np.argsort(g.astype(np.uint64) << np.uint64(40) | key_of(a, b, c) >> np.uint64(24))
+                    a, b, c, g = a[order], b[order], c[order], g[order]
+                    cuts = _cuts(g, a, b, c)
+                    first, n = cuts[:-1], np.diff(cuts)
+                    a, b, c, g = a[first], b[first], c[first], g[first]
+                    for k, at in _slices(g):
+                        yield k, TRUSTED, pack([a[at], b[at], c[at]], [n[at]]), None
+
+        yield from batched(rows(), ROW, weigh=2)
 
+    return trusted.mapInArrow(run, ROW_DDL)
 
-def _sent(source: DataFrame, shards: int) -> DataFrame:
-    """For each chunk of documents and shard one row: the documents, distinct keys of theirs and where those occur."""
+
+def _sent_docs(docs: DataFrame, deal: Deal, rounds: int, r: int) -> DataFrame:
+    """For each chunk of documents and shard of the round one row with their triples, and one with their distinct words."""
 
     def run(batches):
-        known: dict = {}
+        words = Words()
+
+        def packed(ident, g, doc, columns, numbers):
+            order = _by_shard(g)
+            g, doc, columns, numbers = g[order], doc[order], [c[order] for c in columns], [n[order] for n in numbers]
+            for k, at in _slices(g):
+                cuts = _cuts(doc[at])
+                yield k, struct.pack("<I", len(cuts) - 1) + ident[doc[at][cuts[:-1]]].tobytes() + np.diff(cuts).astype(np.uint32).tobytes() + pack([c[at] for c in columns], [n[at] for n in numbers])
 
         def rows():
             for whole in batches:
-                for b in _chunks(whole, 1):
-                    if len(known) > 500_000:
-                        known.clear()
-                    texts = [(i, t) for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True) if t]
-                    if not texts:
+                for x in _chunks(whole, 1):
+                    told = [(i, t) for i, t in zip(x.column(0).to_pylist(), as_bytes(x.column(1)), strict=True) if t]
+                    if not told:
                         continue
-                    s = [word_hashes(t, known) for _, t in texts]
-                    key = np.concatenate([f for x in s for f in (key_of(x[1:]), key_of(x[:-1], x[1:]), key_of(x[:-2], x[1:-1], x[2:]))])
-                    doc = np.repeat(np.arange(len(s)), [3 * len(x) - 4 for x in s])
-                    order = np.lexsort((doc, key))
-                    key, doc = key[order], doc[order]
-                    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
-                    n = np.diff(np.concatenate([first, [len(key)]]))
-                    key, doc = key[first], doc[first]
-                    ends = np.searchsorted(_shard(key, shards), np.arange(shards + 1))
-                    told = [len(x) - 2 for x in s]
-                    for k in range(shards):
-                        at = slice(ends[k], ends[k + 1])
-                        mine, place = np.unique(doc[at], return_inverse=True)
-                        if not len(mine):
-                            continue
-                        out = [struct.pack(HEAD, len(mine), len(place))]
-                        for m in mine.tolist():
-                            i, t = texts[m]
-                            out.append(struct.pack(DOC, i is not None, i or 0, _content(t), told[m]))
-                            told[m] = 0  # a document's predicted words count in one shard
-                        yield k, 1, None, None, b"".join([*out, pack(key[at], place, n[at])])
-
-        yield from batched(rows(), SENT, weigh=4)
-
-    return source.mapInArrow(run, SENT_DDL)
-
-
-def _shard(key: np.ndarray, shards: int) -> np.ndarray:
-    return (key >> np.uint64(16)) * np.uint64(shards) >> np.uint64(KEY_BITS - 16)
-
-
-def word_perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, content, word_perplexity for every (id, text) of docs (doc_id, text) by the model of the trusted texts (text);
-    no row where the text is empty, null without trusted text."""
-    model, unknown = word_model(trusted)
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-model.count() // SHARD_KEYS))
-    put = F.shiftright(F.shiftright("key", 16) * F.lit(shards), KEY_BITS - 16).cast("int")
-    rows = model.select(put.alias("shard"), F.lit(0).alias("kind"), "key", "value", F.lit(None).cast("binary").alias("packed"))
-    every = rows.unionByName(_sent(docs, shards)).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+                    ident = np.array([i for i, _ in told], np.int64)
+                    a, b, c, doc = words.triples([t for _, t in told])
+                    mine = deal.word(c) % rounds == r
+                    own, n = np.unique(doc[mine].astype(np.uint64) << np.uint64(WORD_BITS) | c[mine], return_counts=True)
+                    of, own = (own >> np.uint64(WORD_BITS)).astype(np.int64), own & np.uint64((1 << WORD_BITS) - 1)
+                    for k, data in packed(ident, deal.word(own), of, [own], [n]):
+                        yield k, DOC_WORDS, data, None
+                    g = deal.triple(a, b)
+                    mine = g % rounds == r
+                    for k, data in packed(ident, g[mine], doc[mine], [a[mine], b[mine], c[mine]], []):
+                        yield k, DOC_TRIPLES, data, None
+
+        yield from batched(rows(), ROW, weigh=2)
+
+    return docs.mapInArrow(run, ROW_DDL)
+
+
+def _grouped(batches) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
+    """Of rows in order of their shards: each shard with an iterator over its (kind, packed), to be used up before the next."""
+    rows = (row for x in batches for row in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True))
+    for shard, its in groupby(rows, key=lambda row: row[0]):
+        yield shard, ((kind, data) for _, kind, data in its)
+
+
+def _at_shards(rows: DataFrame, deal: Deal) -> DataFrame:
+    """Shards whole and in order; a partition may hold several."""
+    return rows.repartition(2 * deal.shards // ROUNDS, "shard").sortWithinPartitions("shard", "kind")
+
+
+class Counted(NamedTuple):
+    """Distinct triples of a shard with their counts, their distinct pairs (b, c), and which pair each triple has."""
+
+    a: np.ndarray
+    b: np.ndarray
+    c: np.ndarray
+    n: np.ndarray
+    first: np.ndarray
+    pair: np.ndarray
+    kinds: np.ndarray
+
+    @classmethod
+    def of(cls, packed: list[bytes]) -> Counted:
+        told = [unpack(data, 3) for data in packed]
+        a, b, c = (np.concatenate([np.zeros(0, np.uint64), *(x[0][k] for x in told)]) for k in range(3))
+        n = np.concatenate([np.zeros(0, np.int64), *(x[1][0] for x in told)])
+        _, first, of = np.unique(key_of(a, b, c), return_index=True, return_inverse=True)
+        n = np.bincount(of, n, len(first)).astype(np.int64)
+        a, b, c = a[first], b[first], c[first]
+        _, first, pair, kinds = np.unique(key_of(b, c), return_index=True, return_inverse=True, return_counts=True)
+        return cls(a, b, c, n, first, pair, kinds)
+
+
+def _times(n: np.ndarray) -> list[int]:
+    """How many of n are 1, 2, 3, 4."""
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+
+
+def _asked(trusted: DataFrame, deal: Deal, r: int) -> DataFrame:
+    """What the shards of a counting round tell: for each shard of words the last words of their pairs, and how many words
+    of this shard alone those follow; for hot middle words, the pairs. And the numbers of triples and pairs by count."""
 
     def run(batches):
         def rows():
-            now, held, keys, values = None, [], None, None
-            for x in batches:
-                shard, kind = (np.asarray(x.column(k)) for k in (0, 1))
-                cuts = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])]))
-                for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True):
-                    if shard[start] != now:
-                        now, held, keys = shard[start], [], None
-                    part = x.slice(start, end - start)
-                    if not kind[start]:
-                        held.append((np.asarray(part.column(2)).astype(np.uint64), np.asarray(part.column(3)).astype(float)))
+            for shard, its in _grouped(batches):
+                t = Counted.of([data for _, data in its])
+                b, c, kinds = t.b[t.first], t.c[t.first], t.kinds
+                yield shard, HIGH, None, _times(t.n)
+                hot = deal.is_hot(b)
+                yield shard, LOW, None, _times(kinds[~hot])
+                words, n = np.unique(c[~hot], return_counts=True)
+                g = deal.word(words)
+                order = _by_shard(g)
+                words, n, g = words[order], n[order], g[order]
+                for k, at in _slices(g):
+                    yield k, WORDS, struct.pack("<I", shard) + pack([words[at]], [n[at]]), None
+                b, c, kinds = b[hot], c[hot], kinds[hot]
+                g = deal.word(c)
+                order = _by_shard(g)
+                b, c, kinds, g = b[order], c[order], kinds[order], g[order]
+                for k, at in _slices(g):
+                    yield k, HOT_PAIRS, pack([b[at], c[at]], [kinds[at]]), None
+
+        yield from batched(((k, kind, data or b"", told) for k, kind, data, told in rows()), ROW, weigh=2)
+
+    return _at_shards(_sent_triples(trusted, deal, COUNT_ROUNDS, r), deal).mapInArrow(run, ROW_DDL)
+
+
+def _answered(asked: DataFrame, deal: Deal) -> DataFrame:
+    """Answers to the shards that asked: of words, how many words they follow; of hot pairs, that and how many words the pair
+    follows. Also the shards' own words, and numbers of hot pairs by count and by first word."""
+
+    def run(batches):
+        def rows():
+            for shard, its in _grouped(batches):
+                told: dict[int, list[bytes]] = {WORDS: [], HOT_PAIRS: []}
+                for kind, data in its:
+                    told[kind].append(data)
+                asks = [(*struct.unpack_from("<I", data), *unpack(data[4:], 1)) for data in told[WORDS]]
+                hot = [unpack(data, 2) for data in told[HOT_PAIRS]]
+                b, c = (np.concatenate([np.zeros(0, np.uint64), *(x[k] for x, _ in hot)]) for k in (0, 1))
+                kinds = np.concatenate([np.zeros(0, np.int64), *(n[0] for _, n in hot)])
+                _, first, of = np.unique(key_of(b, c), return_index=True, return_inverse=True)
+                b, c, kinds = b[first], c[first], np.bincount(of, kinds, len(first)).astype(np.int64)
+                words = np.unique(np.concatenate([c, *(w[0] for _, w, _ in asks)]))
+                n = np.bincount(np.searchsorted(words, c), minlength=len(words)).astype(np.int64)
+                for _, (w,), (k,) in asks:
+                    n[np.searchsorted(words, w)] += k
+                yield shard, KNOWN_WORDS, pack([words], [n]), [len(words), int(n.sum())]
+                for to, (w,), _ in asks:
+                    yield to, WORDS, pack([w], [n[np.searchsorted(words, w)]]), None
+                yield shard, LOW, b"", _times(kinds)
+                order = np.argsort(b)
+                b, c, kinds = b[order], c[order], kinds[order]
+                cuts = _cuts(b).tolist()
+                for i, j in zip(cuts, cuts[1:], strict=False):
+                    data = pack([b[i:j], c[i:j]], [kinds[i:j], n[np.searchsorted(words, c[i:j])]])
+                    for to in deal.shards_of(int(b[i])):
+                        yield to, HOT_PAIRS, data, None
+                    yield shard, FOLLOWS, b"", [int(b[i]), int(kinds[i:j].sum()), *(int((np.minimum(kinds[i:j], 3) == k).sum()) for k in (1, 2, 3))]
+
+        yield from batched(rows(), ROW, weigh=2)
+
+    return _at_shards(asked.where(F.col("kind").isin(WORDS, HOT_PAIRS)), deal).mapInArrow(run, ROW_DDL)
+
+
+class Model(NamedTuple):
+    """What all shards need to know: discounts of triples and pairs, the number of distinct pairs, an unknown word's probability,
+    and of hot middle words (in order of deal.hot) the total and the share that backs off."""
+
+    deal: Deal
+    answers: DataFrame
+    high: np.ndarray
+    low: np.ndarray
+    pairs: float
+    unknown: float
+    totals: np.ndarray
+    rests: np.ndarray
+
+
+def _discount(d: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return d[np.minimum(n, 3) - 1]
+
+
+def _trained(trusted: DataFrame) -> Model | None:
+    deal = _dealer(trusted)
+    if deal is None:
+        return None
+    spark = trusted.sparkSession
+    with shuffles_dropped(spark):
+        asked = [materialise(_asked(trusted, deal, r), "asked") for r in range(COUNT_ROUNDS)]
+        every = reduce(DataFrame.union, asked)
+        answers = materialise(_answered(every, deal), "answers")
+
+    def summed(df: DataFrame, kind: int, size: int) -> list[int]:
+        got = df.where(F.col("kind") == kind).agg(*(F.sum(F.col("told")[k]) for k in range(size))).first()
+        return [x or 0 for x in got]
+
+    high = discounts(summed(every, HIGH, 4))
+    low = discounts([x + y for x, y in zip(summed(every, LOW, 4), summed(answers, LOW, 4), strict=True)])
+    kinds, pairs = summed(answers, KNOWN_WORDS, 2)
+    drop_scratch(*asked)
+    told = F.col("told")
+    hot = answers.where(F.col("kind") == FOLLOWS).groupBy(told[0].alias("b")).agg(*(F.sum(told[k]).alias(f"n{k}") for k in range(1, 5)))
+    found = {r[0]: r[1:] for r in hot.collect()}  # one row for each hot word
+    sums = [found.get(int(b), (1, 0, 0, 0)) for b in deal.hot]
+    rests = [sum(x * d for x, d in zip(s[1:], low, strict=True)) / s[0] for s in sums]
+    return Model(deal, answers, np.array(high), np.array(low), float(pairs), 0.5 * kinds / pairs / (kinds + 1), np.array([s[0] for s in sums], float), np.array(rests, float))
+
+
+def word_model(trusted: DataFrame) -> tuple[DataFrame | None, Model | None]:
+    """Of the trusted texts (column text): a table of their words (hash) and how many different words each follows, and the
+    rest of the model; None without trusted text."""
+    model = _trained(trusted)
+    if model is None:
+        return None, None
+
+    def run(batches):
+        for _, its in _grouped(batches):
+            for _, data in its:
+                (words,), (n,) = unpack(data, 1)
+                for k in range(0, len(words), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 20_000].view(np.int64)), pa.array(n[k : k + 20_000])], ["word", "n"])
+
+    return model.answers.where(F.col("kind") == KNOWN_WORDS).mapInArrow(run, "word long, n long"), model
+
+
+class Lookup:
+    """Numbers by key, 0 for others."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.append(values[order], 0.0)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == keys[hit]
+        return self.values[np.where(hit, at, len(self.keys))]
+
+
+class Shard:
+    """The model of one shard: what a triple adds to the log probability of its last word as a single word."""
+
+    def __init__(self, m, told: dict[int, list[bytes]]):
+        t = Counted.of(told[TRUSTED])
+        words = [unpack(data, 1) for data in told[WORDS]]
+        follows = Lookup(np.concatenate([np.zeros(0, np.uint64), *(w[0] for w, _ in words)]), np.concatenate([np.zeros(0), *(n[0] for _, n in words)]))
+        b, c, kinds = t.b[t.first], t.c[t.first], t.kinds
+        cold = ~m.deal.is_hot(b)
+        b, c, kinds = b[cold], c[cold], kinds[cold]
+        first, of = np.unique(b, return_inverse=True)
+        total = np.bincount(of, kinds, len(first))
+        rest = np.bincount(of, _discount(m.low, kinds), len(first)) / np.maximum(total, 1)
+        n1, total, rests = follows(c), total[of], rest[of]
+        hot = [unpack(data, 2) for data in told[HOT_PAIRS]]
+        hb, hc = (np.concatenate([np.zeros(0, np.uint64), *(x[k] for x, _ in hot)]) for k in (0, 1))
+        hn, h1 = (np.concatenate([np.zeros(0, np.int64), *(n[k] for _, n in hot)]) for k in (0, 1))
+        at = np.searchsorted(m.deal.hot[:-1], hb)
+        b, c, kinds, n1 = np.concatenate([b, hb]), np.concatenate([c, hc]), np.concatenate([kinds, hn]), np.concatenate([n1, h1])
+        total, rests = np.concatenate([total, m.totals[at]]), np.concatenate([rests, m.rests[at]])
+        p1 = (n1 - 0.5) / m.pairs + m.unknown
+        under = rests * p1
+        p2 = (kinds - _discount(m.low, kinds)) / total + under
+        keys = key_of(b, c)
+        seconds = Lookup(keys, p2)
+        self.pair = Lookup(keys, np.log(p2 / under))
+        self.middle = Lookup(np.concatenate([first, m.deal.hot[:-1]]), np.log(np.concatenate([rest, m.rests[:-1]])))
+        keys, of = np.unique(key_of(t.a, t.b), return_inverse=True)
+        less, total = np.bincount(of, _discount(m.high, t.n), len(keys)), np.bincount(of, t.n, len(keys))
+        self.context = Lookup(keys, np.log(less / np.maximum(total, 1)))
+        self.triple = Lookup(key_of(t.a, t.b, t.c), np.log1p((t.n - _discount(m.high, t.n)) / less[of] / seconds(key_of(t.b, t.c))))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return self.triple(key_of(a, b, c)) + self.context(key_of(a, b)) + self.pair(key_of(b, c)) + self.middle(b)
+
+
+def _round(docs: DataFrame, trusted: DataFrame, model: Model, r: int) -> DataFrame:
+    """ident, logp, n: what the shards of a round add to the log probability of documents, in n predicted words."""
+    m = model._replace(answers=None)
+    rows = model.answers.where((F.pmod("shard", F.lit(ROUNDS)) == r) & F.col("kind").isin(WORDS, HOT_PAIRS, KNOWN_WORDS))
+    rows = rows.union(_sent_triples(trusted, m.deal, ROUNDS, r)).union(_sent_docs(docs, m.deal, ROUNDS, r)).drop("told")
+
+    def run(batches):
+        def sums():
+            for _, its in _grouped(batches):
+                told: dict[int, list[bytes]] = {WORDS: [], HOT_PAIRS: [], TRUSTED: [], KNOWN_WORDS: []}
+                single = shard = None
+                for kind, data in its:
+                    if kind in told:
+                        told[kind].append(data)
                         continue
-                    if keys is None:
-                        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in held)])
-                        values = np.concatenate([np.zeros(0), *(v for _, v in held)])
-                        order = np.argsort(keys)
-                        keys, values, held = np.append(keys[order], np.uint64(1 << KEY_BITS)), np.append(values[order], 0.0), []
-                    head, width = struct.calcsize(HEAD), struct.calcsize(DOC)
-                    for data in part.column(4).to_pylist():
-                        docs_n, size = struct.unpack_from(HEAD, data)
-                        key, place, n = unpack(data[head + docs_n * width :], size)
-                        at = np.searchsorted(keys, key)
-                        logp = np.bincount(place, np.where(keys[at] == key, values[at], 0.0) * n, docs_n).tolist()
-                        for m in range(docs_n):
-                            known, i, content, words = struct.unpack_from(DOC, data, head + m * width)
-                            yield i if known else None, content, logp[m], words
-
-        yield from batched(rows(), SUMS)
-
-    sums = every.mapInArrow(run, "doc_id long, content long, logp double, n long").groupBy("doc_id", "content").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"))
-    mean = F.lit(None).cast("double") if unknown is None else F.exp(-F.col("logp") / F.col("n") - F.lit(unknown))
-    return sums.select("doc_id", "content", mean.alias("word_perplexity"))
+                    (size,) = struct.unpack_from("<I", data)
+                    ident = np.frombuffer(data, np.int64, size, 4)
+                    of = np.repeat(np.arange(size), np.frombuffer(data, np.uint32, size, 4 + 8 * size))
+                    if kind == DOC_WORDS:
+                        if single is None:
+                            known = [unpack(x, 1) for x in told[KNOWN_WORDS]]
+                            n1 = np.concatenate([np.zeros(0), *(n[0] for _, n in known)])
+                            single = Lookup(np.concatenate([np.zeros(0, np.uint64), *(w[0] for w, _ in known)]), np.log1p((n1 - 0.5) / m.pairs / m.unknown))
+                        (c,), (n,) = unpack(data[4 + 12 * size :], 1)
+                        value = (single(c) + np.log(m.unknown)) * n
+                        counted = np.bincount(of, n, size).astype(np.int64)
+                    else:
+                        if shard is None:
+                            shard = Shard(m, told)
+                        value = shard(*unpack(data[4 + 12 * size :], 3)[0])
+                        counted = np.zeros(size, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(np.bincount(of, value, size)), pa.array(counted)], schema=SUMS)
+
+        yield from sums()
+
+    sums = _at_shards(rows, m.deal).mapInArrow(run, SUMS_DDL)
+    return sums.groupBy("ident").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"))
+
+
+def word_perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
+    """ident, word_perplexity for every (ident, text) of docs by the model of the trusted texts (text); rows of one ident must
+    have one text. No row where the text is empty; None without trusted text."""
+    model = _trained(trusted)
+    if model is None:
+        return None
+    with shuffles_dropped(docs.sparkSession):
+        parts = [materialise(_round(docs, trusted, model, r), "word-sums") for r in range(ROUNDS)]
+        drop_scratch(model.answers)
+        sums = reduce(DataFrame.union, parts).groupBy("ident").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"))
+        out = materialise(sums.select("ident", F.exp(-F.col("logp") / F.col("n")).alias("word_perplexity")), "word-perplexities")
+        drop_scratch(*parts)
+    return out

@@ -510,3 +510,37 @@ def test_media_stores_copies_and_a_transform():
         assert stored[25] & 1 and stored[25] >> 1 & 3 == webp.SUBTRACT_GREEN
         if len(body) > 2000 and body != noise:
             assert len(stored) < len(body) * (0.7 if body.startswith(noise) else 0.2)
+
+
+def test_words_are_scored_in_rounds_that_hold_a_part_of_the_triples(spark, docs):
+    """Each triple of the documents goes to one shard of one round; what a round shuffles is gone when it ends."""
+    from pyspark.sql import functions as F
+
+    source = docs.select(F.xxhash64("doc_id", "text").alias("ident"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = [r.text for r in source.collect()]
+    deal = words_model._dealer(source.select("text"))
+    sizes, found = [], set()
+    for r in range(words_model.ROUNDS):
+        n = 0
+        for row in words_model._sent_docs(source, deal, words_model.ROUNDS, r).where(F.col("kind") == words_model.DOC_TRIPLES).collect():
+            assert row.shard % words_model.ROUNDS == r
+            a, b, c = words_model.unpack(row.packed[4 + 12 * int.from_bytes(row.packed[:4], "little") :], 3)[0]
+            found.update(zip(a.tolist(), b.tolist(), c.tolist(), strict=True))
+            n += len(a)
+        sizes.append(n)
+    pad = lambda t: ["<s>", "<s>", *t.encode().split(), "</s>"]
+    every = [g for t in texts if t for g in zip(pad(t), pad(t)[1:], pad(t)[2:])]
+    assert sum(sizes) == len(every) and max(sizes) < 0.3 * len(every) and len(found) == len(set(every))
+
+
+def test_frequent_middle_words_are_dealt_over_shards(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    source = docs.select(F.xxhash64("doc_id", "text").alias("ident"), F.coalesce("text", F.lit("")).alias("text"))
+    trusted = source.where("length(text) < 400").select("text")
+    scores = lambda: {r.ident: r.word_perplexity for r in words_model.word_perplexities(source, trusted).collect()}
+    whole = scores()
+    monkeypatch.setattr(words_model, "HOT_TRIPLES", 8)
+    deal = words_model._dealer(trusted)
+    assert len(deal.hot) > 2 and deal.parts.max() > 3
+    assert len(whole) > 50 and scores() == {k: pytest.approx(v, rel=1e-9) for k, v in whole.items()}
