@@ -1,26 +1,25 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney trigram model of character classes, trained on trusted text.
 
-Characters are folded into 64 classes, so trigrams are 18-bit codes. Counts of the trusted text are summed in Spark and
-sharded by the middle class: a shard holds all that the probabilities of its trigrams need, but for the 64 unigrams and the
-discounts. Documents are cut into the same shards, as packed (trigram, count) vectors; the join of a shard's documents with
-its counts gives each document's part of the log likelihood, and the parts add up to its perplexity. In a partition, the
-shard's counts come first and its documents stream past them. Thresholds are quantiles of the trusted documents' perplexities
-by language. Since this model's size is fixed, classify() also asks the word model of words.py, which grows with the text.
+Characters are folded into 64 classes, so trigrams are 18-bit codes. Counts of the trusted text are summed in Spark; the log
+probabilities of all 262,144 trigrams, 2 MB whatever the text, are sent to all tasks, which score documents where they are read.
+Thresholds are quantiles of the trusted documents' perplexities by language. Since this model's size is fixed, classify() also
+asks the word model of words.py, which grows with the text and is sharded.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import as_bytes, batched, lean, materialise, shuffles_dropped
+from .common import as_bytes, lean, materialise, shuffles_dropped
 
 CLASSES, BITS = 64, 6
 CODES = 1 << 3 * BITS
-SHARDS = 4
 #: Trusted ids up to this many are sent to every task; more are joined by a shuffle.
 FEW_IDS = 500_000
 
@@ -85,10 +84,6 @@ def _shard_order(codes: np.ndarray) -> np.ndarray:
     return (codes >> BITS & 63) << 2 * BITS | codes >> 2 * BITS << BITS | codes & 63
 
 
-def shard_of(codes: np.ndarray) -> np.ndarray:
-    return (codes >> BITS & 63) % SHARDS
-
-
 def pack(codes: np.ndarray, counts: np.ndarray) -> bytes:
     order = np.argsort(_shard_order(codes))
     o = _shard_order(codes)[order].astype(np.int64)
@@ -150,68 +145,29 @@ def _counted(trusted: DataFrame) -> DataFrame:
     return trusted.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-VECTORS = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("content", pa.int64()), ("packed", pa.binary())])
-VECTORS_DDL = "shard int, salt int, kind int, doc_id long, content long, packed binary"
-PARTS = pa.schema([("doc_id", pa.int64()), ("content", pa.int64()), ("logp", pa.float64()), ("n", pa.int64())])
-
+def log_probabilities(counts: DataFrame) -> np.ndarray:
+    """Log probabilities of all trigrams by the counts (code, n)."""
+    told = counts.toArrow()  # CODES rows at most
+    codes, n = told.column("code").to_numpy().astype(np.int64), told.column("n").to_numpy()
+    pairs, kinds = np.unique(codes & (1 << 2 * BITS) - 1, return_counts=True)
+    high, low = (discounts([(x == k).sum() for k in (1, 2, 3, 4)]) for x in (n, kinds))
+    return probabilities(codes, n, np.bincount(pairs & 63, minlength=CLASSES).astype(float), high, low)
 
-def _content(text: bytes) -> int:
-    h = xxhash.xxh64_intdigest(text, 42)
-    return h - (h >> 63 << 64)
 
+def perplexities(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """rows with perplexity in the place of their last column, a text; null where that is empty."""
+    kept = rows.columns[:-1]
+    table = rows.sparkSession.sparkContext.broadcast(log_probabilities(counts))
 
-def _vectors(source: DataFrame, salts: int) -> DataFrame:
     def run(batches):
-        def rows():
-            for b in batches:
-                for i, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                    codes, n = grams(text)
-                    shards, content = shard_of(codes), _content(text)
-                    for s in np.unique(shards).tolist():
-                        mine = shards == s
-                        yield s, content % salts, 1, i, content, pack(codes[mine], n[mine])
-
-        yield from batched(rows(), VECTORS, weigh=5)
-
-    return source.mapInArrow(run, VECTORS_DDL)
-
-
-def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, content, perplexity for every (id, text) of docs (doc_id, text); null where the text is empty."""
-    spark = docs.sparkSession
-    occurs = counts.groupBy(F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    b, c, a = F.shiftright("code", BITS).bitwiseAND(63), F.col("code").bitwiseAND(63), F.shiftright("code", 2 * BITS)
-    pairs = counts.select(a.alias("a"), b.alias("b"), c.alias("c")).groupBy("b", "c").agg(F.count(F.lit(1)).alias("n"))
-    times = pairs.groupBy(F.least("n", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    follows = pairs.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    told = {name: {r[0]: r[1] for r in df.collect()} for name, df in (("high", occurs), ("low", times), ("one", follows))}  # 5, 5 and 64 rows
-    high, low = (discounts([told[k].get(j, 0) for j in (1, 2, 3, 4)]) for k in ("high", "low"))
-    unigrams = np.array([told["one"].get(k, 0) for k in range(CLASSES)], float)
-    salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS))
-    model = counts.select(F.pmod(b, F.lit(SHARDS)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.col("code").cast("long").alias("doc_id"), F.col("n").alias("content"), F.lit(None).cast("binary").alias("packed"))
-    every = model.unionByName(_vectors(docs, salts)).repartition(SHARDS * salts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+        for b in batches:
+            out = []
+            for text in as_bytes(b.column(len(kept))):
+                codes, n = grams(text)
+                out.append(math.exp(-float(table.value[codes] @ n) / len(text)) if text else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], [*kept, "perplexity"])
 
-    def run(batches):
-        def rows():
-            now, codes, n, table = None, [], [], None
-            for x in batches:
-                cols = [x.column(k).to_pylist() for k in range(6)]
-                for shard, salt, kind, i, content, packed in zip(*cols, strict=True):
-                    if (shard, salt) != now:
-                        now, codes, n, table = (shard, salt), [], [], None
-                    if not kind:
-                        codes.append(i)
-                        n.append(content)
-                        continue
-                    if table is None:
-                        table = probabilities(np.array(codes, np.int64), np.array(n, float), unigrams, high, low)
-                    at, times = unpack(packed)
-                    yield i, content, float(table[at] @ times), int(times.sum())
-
-        yield from batched(rows(), PARTS)
-
-    parts = every.mapInArrow(run, "doc_id long, content long, logp double, n long")
-    return parts.groupBy("doc_id", "content").agg(F.exp(-F.sum("logp") / F.sum("n")).alias("perplexity"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("perplexity", DoubleType())]))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = 0.995, slack: float = 1.03) -> DataFrame:
@@ -235,11 +191,15 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
         with shuffles_dropped(docs.sparkSession):
             trusted = materialise(trusted, "trusted")
     counts = materialise(_counted(trusted.select("text")), "trigrams")
-    scores = perplexities(source, counts)
-    rows = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("content"), F.xxhash64(F.col(id_col).cast("long"), text).alias("ident"))
-    s = scores.select(F.col("doc_id").alias("id"), F.col("content").alias("of"), "perplexity")
-    w = word_perplexities(source.select(F.xxhash64("doc_id", "text").alias("ident"), "text"), trusted.where(~held_back(F.xxhash64("text"))).select("text"))
-    scored = rows.join(s, rows["doc_id"].eqNullSafe(s["id"]) & (rows["content"] == s["of"]), "left")
+    rows = lean(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("content"), F.xxhash64(F.col(id_col).cast("long"), text).alias("ident"), text.alias("text"))
+    scored = perplexities(rows, counts)
+    worded = source.select(F.xxhash64("doc_id", "text").alias("ident"), "text")
+    if n <= FEW_IDS:
+        known = F.broadcast(ids.withColumnRenamed("doc_id", "known"))
+        worded = source.join(known, F.col("doc_id") == F.col("known"), "left").select(
+            F.xxhash64("doc_id", "text").alias("ident"), "text", (F.col("known").isNotNull() & ~held_back(F.xxhash64("text"))).alias("counted")
+        )
+    w = word_perplexities(worded, trusted.where(~held_back(F.xxhash64("text"))).select("text"))
     if w is None:
         scored = scored.withColumn("word_perplexity", F.lit(None).cast("double"))
     else:
@@ -258,5 +218,5 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     told = scored.crossJoin(F.broadcast(whole)).join(by_lang, F.col("lang") == F.col("of"), "left")
     told = told.withColumn("threshold", F.coalesce("own", "whole")).withColumn("word_threshold", F.coalesce("word_own", "word_whole"))
     kept = F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold")))
-    worded = F.coalesce(F.col("word_perplexity") <= F.col("word_threshold"), F.lit(True))
-    return told.select("doc_id", "lang", "perplexity", "threshold", (kept & worded).alias("kept"), "word_perplexity", "word_threshold")
+    by_words = F.coalesce(F.col("word_perplexity") <= F.col("word_threshold"), F.lit(True))
+    return told.select("doc_id", "lang", "perplexity", "threshold", (kept & by_words).alias("kept"), "word_perplexity", "word_threshold")

@@ -19,14 +19,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batched, drop_scratch, materialise, shuffles_dropped
 from .quality import _unvarint, _varint, discounts
 
-#: Parts of the shards that are scored, or counted, one after the other.
-ROUNDS, COUNT_ROUNDS = 10, 2
+#: Parts of the shards that are scored, or counted, one after the other; the first where documents name the trusted texts among
+#: them, the second where those are a table of their own, which takes disk too.
+ROUNDS, ROUNDS_APART, COUNT_ROUNDS = 6, 8, 2
 #: Trusted triples that one shard holds, about; words in the middle of half as many are dealt over several shards.
 SHARD_TRIPLES = 2_000_000
 HOT_TRIPLES = SHARD_TRIPLES // 2
@@ -57,72 +60,104 @@ def key_of(*words: np.ndarray) -> np.ndarray:
     return h
 
 
+class Laid(NamedTuple):
+    """Words of texts, one text after another, each with two starts before and an end behind."""
+
+    words: np.ndarray
+    middle: np.ndarray  # whether a word is the middle of a triple: all but the first start and the end
+    ends: np.ndarray  # where each text ends
+
+    def triples(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.words[at - 1], self.words[at], self.words[at + 1]
+
+    def texts(self, at: np.ndarray) -> np.ndarray:
+        """Which text each word belongs to."""
+        return np.searchsorted(self.ends, at, side="right")
+
+
 class Deal(NamedTuple):
-    """Which shard a triple or a word belongs to. hot: words that are dealt over several, in order; parts: over how many."""
+    """Which shard a triple or a word belongs to. rounds: in how many parts the shards are scored; hot: words that are dealt over several, in order; parts: over how many."""
 
     shards: int
+    rounds: int
     hot: np.ndarray
     parts: np.ndarray
 
     def is_hot(self, b: np.ndarray) -> np.ndarray:
         return self.hot[np.searchsorted(self.hot[:-1], b)] == b
 
-    def triple(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        part = np.zeros(len(b), np.uint64)
-        at = np.flatnonzero(self.is_hot(b)) if len(self.hot) > 1 else np.zeros(0, np.int64)
-        part[at] = key_of(a[at]) % self.parts[np.searchsorted(self.hot[:-1], b[at])]
-        return (key_of(b, part) % np.uint64(self.shards)).astype(np.uint32)
-
     def word(self, c: np.ndarray) -> np.ndarray:
         return (key_of(c) % np.uint64(self.shards)).astype(np.uint32)
 
+    def triple(self, laid: Laid, words: np.ndarray) -> np.ndarray:
+        """Of each triple of laid texts, at its middle word; words: the shards of the words."""
+        if len(self.hot) == 1:
+            return words
+        out, at = words.copy(), np.flatnonzero(laid.middle & self.is_hot(laid.words))
+        a, b = laid.words[at - 1], laid.words[at]
+        out[at] = key_of(b, key_of(a) % self.parts[np.searchsorted(self.hot[:-1], b)]) % np.uint64(self.shards)
+        return out
+
     def shards_of(self, b: int) -> list[int]:
         """All shards of a hot word."""
         n = int(self.parts[np.searchsorted(self.hot[:-1], np.uint64(b))])
         return np.unique(key_of(np.full(n, b, np.uint64), np.arange(n, dtype=np.uint64)) % np.uint64(self.shards)).tolist()
 
 
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
-BASE = 0x9E3779B97F4A7C15
-LETTERS = key_of(np.arange(256, dtype=np.uint64))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, base % (1 << 64), np.uint64)]))
+#: Masks of the first 0 to 8 bytes of a word of 64 bits.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words are hashed 8 bytes at a time up to this length, together; what longer ones have behind it is hashed one by one.
+LONG_WORD = 256
+#: Texts are taken apart in groups of about so many bytes, whose arrays fit a processor's cache.
+GROUP_BYTES = 1 << 18
 
 
 class Words:
-    """Hashes of the words of texts: a word is the sum of its bytes' numbers times powers of BASE, mixed."""
-
-    def __init__(self):
-        self.up = self.down = np.zeros(0, np.uint64)
+    """Hashes of the words of texts."""
 
-    def hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """48-bit hashes of the words between white space, as they stand, and where they start."""
-        if len(self.up) <= len(data):
-            self.up, self.down = _powers(BASE, len(data)), _powers(pow(BASE, -1, 1 << 64), len(data))
-        edge = np.concatenate([[True], SPACE[data], [True]])
+        raw = np.frombuffer(data + bytes(8), np.uint8)
+        edge = np.ones(len(data) + 2, bool)
+        edge[1:-1] = (raw[:-8] == 0x20) | (raw[:-8] - np.uint8(0x09) < 5)  # white space
         edges = np.flatnonzero(edge[1:] != edge[:-1])
         first, last = edges[::2], edges[1::2]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTERS[data] * self.up[: len(data)], dtype=np.uint64)])
-        return key_of((sums[last] - sums[first]) * self.down[first]) >> np.uint64(64 - WORD_BITS), first
-
-    def triples(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """a, b, c of the triples of words of each text, with two starts before and an end behind; and each one's text."""
-        words, first = self.hashes(np.frombuffer(b"\n".join(texts), np.uint8))
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        until = np.searchsorted(first, ends)
-        sizes = np.diff(until, prepend=0)
+        size = last - first
+        eight = np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))  # the 8 bytes from each byte on
+        h = key_of(eight[first] & FIRST_BYTES[np.minimum(size, 8)], size.astype(np.uint64))
+        more = np.flatnonzero(size > 8)
+        for k in range(8, LONG_WORD, 8):
+            if not len(more):
+                break
+            h[more] = key_of(h[more], eight[first[more] + k] & FIRST_BYTES[np.minimum(size[more] - k, 8)])
+            more = more[size[more] > k + 8]
+        if len(more):
+            rest = [xxhash.xxh64_intdigest(data[i + LONG_WORD : j]) for i, j in zip(first[more].tolist(), last[more].tolist(), strict=True)]
+            h[more] = key_of(h[more], np.array(rest, np.uint64))
+        return h >> np.uint64(64 - WORD_BITS), first
+
+    def _counted(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words of all texts, one after another, and how many each has."""
+        found, sizes, start, held = [], [], 0, 0
+        for k, t in enumerate(texts, 1):
+            held += len(t) + 1
+            if held >= GROUP_BYTES or k == len(texts):
+                words, first = self.hashes(b"\n".join(texts[start:k]))
+                found.append(words)
+                sizes.append(np.diff(np.searchsorted(first, np.cumsum([len(x) + 1 for x in texts[start:k]])), prepend=0))
+                start, held = k, 0
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def laid(self, texts: list[bytes]) -> Laid:
+        words, sizes = self._counted(texts)
         p = np.full(len(words) + 3 * len(texts), START, np.uint64)
         ends = np.cumsum(sizes + 3)
-        inner = np.ones(len(p), bool)
-        inner[ends - 1] = inner[ends - sizes - 2] = inner[ends - sizes - 3] = False
-        p[inner] = words
+        middle = np.ones(len(p), bool)
+        middle[ends - 1] = middle[ends - sizes - 2] = middle[ends - sizes - 3] = False
+        p[middle] = words
         p[ends - 1] = END
-        inner[ends - sizes - 2] = True  # the second start is a middle word
-        i = np.flatnonzero(inner)
-        return p[i - 1], p[i], p[i + 1], np.repeat(np.arange(len(texts)), sizes + 1)
+        middle[ends - sizes - 2] = True
+        return Laid(p, middle, ends)
 
 
 def pack(columns: list[np.ndarray], numbers: list[np.ndarray] = ()) -> bytes:
@@ -142,7 +177,7 @@ def unpack(data: bytes, columns: int) -> tuple[list[np.ndarray], list[np.ndarray
 
 def _chunks(b: pa.RecordBatch, texts: int, most: int = 3_200_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, of about so many bytes of text or one row; never over 60,000 rows."""
-    sizes = np.array([len(x) for x in as_bytes(b.column(texts))])
+    sizes = pc.fill_null(pc.binary_length(b.column(texts)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for k, size in enumerate(sizes.tolist()):
         if k > start and (held + size > most or k - start >= 60_000):
@@ -162,6 +197,16 @@ def _cuts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new) if n else np.zeros(1, np.int64)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where one of each distinct key stands, in order of keys; which of them each key is; and how often each occurs."""
+    order = np.argsort(keys)
+    cuts = _cuts(keys[order])
+    n = np.diff(cuts)
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.repeat(np.arange(len(n)), n)
+    return order[cuts[:-1]], of, n
+
+
 def _by_shard(shard: np.ndarray) -> np.ndarray:
     return np.argsort(shard.astype(np.uint16) if not len(shard) or shard.max() < 1 << 16 else shard, kind="stable")
 
@@ -173,7 +218,7 @@ def _slices(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(shard[i]), slice(i, j)
 
 
-def _dealer(trusted: DataFrame) -> Deal | None:
+def _dealer(trusted: DataFrame, rounds: int = ROUNDS) -> Deal | None:
     """How to deal the trusted text; None if it has no text. Words in the middle of many triples are told by those that make
     up a thousandth of a chunk: a word that is missed so is dealt like any other, and the result is the same."""
 
@@ -183,7 +228,8 @@ def _dealer(trusted: DataFrame) -> Deal | None:
             for x in _chunks(whole, 0):
                 texts = [t for t in as_bytes(x.column(0)) if t]
                 if texts:
-                    b, n = np.unique(words.triples(texts)[1], return_counts=True)
+                    laid = words.laid(texts)
+                    b, n = np.unique(laid.words[laid.middle], return_counts=True)
                     much = n * 1000 >= n.sum()
                     yield pa.RecordBatch.from_arrays([pa.array(np.append(b[much].astype(np.int64), -1)), pa.array(np.append(n[much], n.sum()))], ["word", "n"])
 
@@ -193,8 +239,19 @@ def _dealer(trusted: DataFrame) -> Deal | None:
     if not total:
         return None
     hot = sorted(found)
-    each = max(2 * trusted.sparkSession.sparkContext.defaultParallelism, -(-total // (ROUNDS * SHARD_TRIPLES)))
-    return Deal(ROUNDS * each, np.array([*hot, 1 << 63], np.uint64), np.array([*(-(-found[w] // HOT_TRIPLES) + 1 for w in hot), 1], np.uint64))
+    each = max(2 * trusted.sparkSession.sparkContext.defaultParallelism, -(-total // (rounds * SHARD_TRIPLES)))
+    return Deal(rounds * each, rounds, np.array([*hot, 1 << 63], np.uint64), np.array([*(-(-found[w] // HOT_TRIPLES) + 1 for w in hot), 1], np.uint64))
+
+
+def _packed_triples(a: np.ndarray, b: np.ndarray, c: np.ndarray, g: np.ndarray) -> Iterator[tuple[int, int, bytes, None]]:
+    """Of the trusted triples of a chunk one row for each shard: distinct triples and their counts."""
+    order = np.argsort(g.astype(np.uint64) << np.uint64(40) | key_of(a, b, c) >> np.uint64(24))
+    a, b, c, g = a[order], b[order], c[order], g[order]
+    cuts = _cuts(g, a, b, c)
+    first, n = cuts[:-1], np.diff(cuts)
+    a, b, c, g = a[first], b[first], c[first], g[first]
+    for k, at in _slices(g):
+        yield k, TRUSTED, pack([a[at], b[at], c[at]], [n[at]]), None
 
 
 def _sent_triples(trusted: DataFrame, deal: Deal, rounds: int, r: int) -> DataFrame:
@@ -209,17 +266,10 @@ def _sent_triples(trusted: DataFrame, deal: Deal, rounds: int, r: int) -> DataFr
                     texts = [t for t in as_bytes(x.column(0)) if t]
                     if not texts:
                         continue
-                    a, b, c, _ = words.triples(texts)
-                    g = deal.triple(a, b)
-                    mine = g % rounds == r
-                    a, b, c, g = a[mine], b[mine], c[mine], g[mine]
-                    order = np.argsort(g.astype(np.uint64) << np.uint64(40) | key_of(a, b, c) >> np.uint64(24))
-                    a, b, c, g = a[order], b[order], c[order], g[order]
-                    cuts = _cuts(g, a, b, c)
-                    first, n = cuts[:-1], np.diff(cuts)
-                    a, b, c, g = a[first], b[first], c[first], g[first]
-                    for k, at in _slices(g):
-                        yield k, TRUSTED, pack([a[at], b[at], c[at]], [n[at]]), None
+                    laid = words.laid(texts)
+                    g = deal.triple(laid, deal.word(laid.words))
+                    at = np.flatnonzero(laid.middle & (g % rounds == r))
+                    yield from _packed_triples(*laid.triples(at), g[at])
 
         yield from batched(rows(), ROW, weigh=2)
 
@@ -227,7 +277,8 @@ def _sent_triples(trusted: DataFrame, deal: Deal, rounds: int, r: int) -> DataFr
 
 
 def _sent_docs(docs: DataFrame, deal: Deal, rounds: int, r: int) -> DataFrame:
-    """For each chunk of documents and shard of the round one row with their triples, and one with their distinct words."""
+    """For each chunk of documents and shard of the round one row with their triples, and one with their distinct words; also
+    what _sent_triples() sends of those that a third column names trusted."""
 
     def run(batches):
         words = Words()
@@ -242,20 +293,27 @@ def _sent_docs(docs: DataFrame, deal: Deal, rounds: int, r: int) -> DataFrame:
         def rows():
             for whole in batches:
                 for x in _chunks(whole, 1):
-                    told = [(i, t) for i, t in zip(x.column(0).to_pylist(), as_bytes(x.column(1)), strict=True) if t]
-                    if not told:
+                    texts = as_bytes(x.column(1))
+                    full = [k for k, t in enumerate(texts) if t]
+                    if not full:
                         continue
-                    ident = np.array([i for i, _ in told], np.int64)
-                    a, b, c, doc = words.triples([t for _, t in told])
-                    mine = deal.word(c) % rounds == r
-                    own, n = np.unique(doc[mine].astype(np.uint64) << np.uint64(WORD_BITS) | c[mine], return_counts=True)
+                    ident = x.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[full]
+                    laid = words.laid([texts[k] for k in full])
+                    shards = deal.word(laid.words)
+                    at = np.flatnonzero(laid.middle[:-1] & (shards[1:] % rounds == r))
+                    own, n = np.unique(laid.texts(at).astype(np.uint64) << np.uint64(WORD_BITS) | laid.words[at + 1], return_counts=True)
                     of, own = (own >> np.uint64(WORD_BITS)).astype(np.int64), own & np.uint64((1 << WORD_BITS) - 1)
                     for k, data in packed(ident, deal.word(own), of, [own], [n]):
                         yield k, DOC_WORDS, data, None
-                    g = deal.triple(a, b)
-                    mine = g % rounds == r
-                    for k, data in packed(ident, g[mine], doc[mine], [a[mine], b[mine], c[mine]], []):
+                    g = deal.triple(laid, shards)
+                    at = np.flatnonzero(laid.middle & (g % rounds == r))
+                    (a, b, c), g, of = laid.triples(at), g[at], laid.texts(at)
+                    for k, data in packed(ident, g, of, [a, b, c], []):
                         yield k, DOC_TRIPLES, data, None
+                    if x.num_columns > 2:
+                        t = np.array(x.column(2).to_pylist(), bool)[full][of]
+                        if t.any():
+                            yield from _packed_triples(a[t], b[t], c[t], g[t])
 
         yield from batched(rows(), ROW, weigh=2)
 
@@ -271,7 +329,7 @@ def _grouped(batches) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
 
 def _at_shards(rows: DataFrame, deal: Deal) -> DataFrame:
     """Shards whole and in order; a partition may hold several."""
-    return rows.repartition(2 * deal.shards // ROUNDS, "shard").sortWithinPartitions("shard", "kind")
+    return rows.repartition(2 * deal.shards // deal.rounds, "shard").sortWithinPartitions("shard", "kind")
 
 
 class Counted(NamedTuple):
@@ -290,10 +348,10 @@ class Counted(NamedTuple):
         told = [unpack(data, 3) for data in packed]
         a, b, c = (np.concatenate([np.zeros(0, np.uint64), *(x[0][k] for x in told)]) for k in range(3))
         n = np.concatenate([np.zeros(0, np.int64), *(x[1][0] for x in told)])
-        _, first, of = np.unique(key_of(a, b, c), return_index=True, return_inverse=True)
+        first, of, _ = _distinct(key_of(a, b, c))
         n = np.bincount(of, n, len(first)).astype(np.int64)
         a, b, c = a[first], b[first], c[first]
-        _, first, pair, kinds = np.unique(key_of(b, c), return_index=True, return_inverse=True, return_counts=True)
+        first, pair, kinds = _distinct(key_of(b, c))
         return cls(a, b, c, n, first, pair, kinds)
 
 
@@ -346,7 +404,7 @@ def _answered(asked: DataFrame, deal: Deal) -> DataFrame:
                 hot = [unpack(data, 2) for data in told[HOT_PAIRS]]
                 b, c = (np.concatenate([np.zeros(0, np.uint64), *(x[k] for x, _ in hot)]) for k in (0, 1))
                 kinds = np.concatenate([np.zeros(0, np.int64), *(n[0] for _, n in hot)])
-                _, first, of = np.unique(key_of(b, c), return_index=True, return_inverse=True)
+                first, of, _ = _distinct(key_of(b, c))
                 b, c, kinds = b[first], c[first], np.bincount(of, kinds, len(first)).astype(np.int64)
                 words = np.unique(np.concatenate([c, *(w[0] for _, w, _ in asks)]))
                 n = np.bincount(np.searchsorted(words, c), minlength=len(words)).astype(np.int64)
@@ -388,8 +446,8 @@ def _discount(d: np.ndarray, n: np.ndarray) -> np.ndarray:
     return d[np.minimum(n, 3) - 1]
 
 
-def _trained(trusted: DataFrame) -> Model | None:
-    deal = _dealer(trusted)
+def _trained(trusted: DataFrame, rounds: int = ROUNDS) -> Model | None:
+    deal = _dealer(trusted, rounds)
     if deal is None:
         return None
     spark = trusted.sparkSession
@@ -432,17 +490,28 @@ def word_model(trusted: DataFrame) -> tuple[DataFrame | None, Model | None]:
 
 
 class Lookup:
-    """Numbers by key, 0 for others."""
+    """Numbers by key, 0 for others. Keys are asked in order, as a search that jumps about in a large table is slow."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.append(values[order], 0.0)
+        self.keys, self.values = keys[order], values[order]
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
+    def found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are there, and their numbers."""
+        if not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0)
+        order = np.argsort(keys)
+        keys = keys[order]
         at = np.searchsorted(self.keys, keys)
-        hit = at < len(self.keys)
-        hit[hit] = self.keys[at[hit]] == keys[hit]
-        return self.values[np.where(hit, at, len(self.keys))]
+        at[at == len(self.keys)] = 0
+        hit = np.flatnonzero(self.keys[at] == keys)
+        return order[hit], self.values[at[hit]]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys))
+        at, values = self.found(keys)
+        out[at] = values
+        return out
 
 
 class Shard:
@@ -455,7 +524,8 @@ class Shard:
         b, c, kinds = t.b[t.first], t.c[t.first], t.kinds
         cold = ~m.deal.is_hot(b)
         b, c, kinds = b[cold], c[cold], kinds[cold]
-        first, of = np.unique(b, return_inverse=True)
+        first, of, _ = _distinct(b)
+        first = b[first]
         total = np.bincount(of, kinds, len(first))
         rest = np.bincount(of, _discount(m.low, kinds), len(first)) / np.maximum(total, 1)
         n1, total, rests = follows(c), total[of], rest[of]
@@ -472,49 +542,76 @@ class Shard:
         seconds = Lookup(keys, p2)
         self.pair = Lookup(keys, np.log(p2 / under))
         self.middle = Lookup(np.concatenate([first, m.deal.hot[:-1]]), np.log(np.concatenate([rest, m.rests[:-1]])))
-        keys, of = np.unique(key_of(t.a, t.b), return_inverse=True)
+        keys = key_of(t.a, t.b)
+        first, of, _ = _distinct(keys)
+        keys = keys[first]
         less, total = np.bincount(of, _discount(m.high, t.n), len(keys)), np.bincount(of, t.n, len(keys))
         self.context = Lookup(keys, np.log(less / np.maximum(total, 1)))
         self.triple = Lookup(key_of(t.a, t.b, t.c), np.log1p((t.n - _discount(m.high, t.n)) / less[of] / seconds(key_of(t.b, t.c))))
 
     def __call__(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return self.triple(key_of(a, b, c)) + self.context(key_of(a, b)) + self.pair(key_of(b, c)) + self.middle(b)
-
-
-def _round(docs: DataFrame, trusted: DataFrame, model: Model, r: int) -> DataFrame:
+        out = self.middle(b)
+        at, values = self.pair.found(key_of(b, c))
+        out[at] += values
+        seen = np.zeros(len(b), bool)
+        seen[at] = True
+        at, values = self.context.found(key_of(a, b))
+        out[at] += values
+        at = at[seen[at]]  # a triple stands only where its pair and its context do
+        out[at] += self.triple(key_of(a[at], b[at], c[at]))
+        return out
+
+
+def _together(rows: Iterator[bytes], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Packed documents taken together, about so many triples or words at a time: their idents, to which of these each triple
+    or word belongs, and what is packed."""
+    idents, sizes, packed, held = [], [], [], 0
+    for data in rows:
+        (n,) = struct.unpack_from("<I", data)
+        idents.append(np.frombuffer(data, np.int64, n, 4))
+        sizes.append(np.frombuffer(data, np.uint32, n, 4 + 8 * n))
+        packed.append(data[4 + 12 * n :])
+        held += int(sizes[-1].sum())
+        if held >= most:
+            yield np.concatenate(idents), np.repeat(np.arange(sum(map(len, sizes))), np.concatenate(sizes)), packed
+            idents, sizes, packed, held = [], [], [], 0
+    if packed:
+        yield np.concatenate(idents), np.repeat(np.arange(sum(map(len, sizes))), np.concatenate(sizes)), packed
+
+
+def _round(docs: DataFrame, trusted: DataFrame | None, model: Model, r: int) -> DataFrame:
     """ident, logp, n: what the shards of a round add to the log probability of documents, in n predicted words."""
     m = model._replace(answers=None)
-    rows = model.answers.where((F.pmod("shard", F.lit(ROUNDS)) == r) & F.col("kind").isin(WORDS, HOT_PAIRS, KNOWN_WORDS))
-    rows = rows.union(_sent_triples(trusted, m.deal, ROUNDS, r)).union(_sent_docs(docs, m.deal, ROUNDS, r)).drop("told")
+    rows = model.answers.where((F.pmod("shard", F.lit(m.deal.rounds)) == r) & F.col("kind").isin(WORDS, HOT_PAIRS, KNOWN_WORDS))
+    if trusted is not None:
+        rows = rows.union(_sent_triples(trusted, m.deal, m.deal.rounds, r))
+    rows = rows.union(_sent_docs(docs, m.deal, m.deal.rounds, r)).drop("told")
 
     def run(batches):
-        def sums():
-            for _, its in _grouped(batches):
-                told: dict[int, list[bytes]] = {WORDS: [], HOT_PAIRS: [], TRUSTED: [], KNOWN_WORDS: []}
-                single = shard = None
-                for kind, data in its:
-                    if kind in told:
-                        told[kind].append(data)
-                        continue
-                    (size,) = struct.unpack_from("<I", data)
-                    ident = np.frombuffer(data, np.int64, size, 4)
-                    of = np.repeat(np.arange(size), np.frombuffer(data, np.uint32, size, 4 + 8 * size))
+        for _, its in _grouped(batches):
+            told: dict[int, list[bytes]] = {WORDS: [], HOT_PAIRS: [], TRUSTED: [], KNOWN_WORDS: []}
+            single = shard = None
+            for kind, rows in groupby(its, key=lambda it: it[0]):
+                if kind in told:
+                    told[kind] += [data for _, data in rows]
+                    continue
+                for ident, of, packed in _together(data for _, data in rows):
                     if kind == DOC_WORDS:
                         if single is None:
                             known = [unpack(x, 1) for x in told[KNOWN_WORDS]]
                             n1 = np.concatenate([np.zeros(0), *(n[0] for _, n in known)])
                             single = Lookup(np.concatenate([np.zeros(0, np.uint64), *(w[0] for w, _ in known)]), np.log1p((n1 - 0.5) / m.pairs / m.unknown))
-                        (c,), (n,) = unpack(data[4 + 12 * size :], 1)
+                        c, n = (np.concatenate(x) for x in zip(*((w[0], k[0]) for w, k in (unpack(x, 1) for x in packed)), strict=True))
                         value = (single(c) + np.log(m.unknown)) * n
-                        counted = np.bincount(of, n, size).astype(np.int64)
+                        counted = np.bincount(of, n, len(ident)).astype(np.int64)
                     else:
                         if shard is None:
                             shard = Shard(m, told)
-                        value = shard(*unpack(data[4 + 12 * size :], 3)[0])
-                        counted = np.zeros(size, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(np.bincount(of, value, size)), pa.array(counted)], schema=SUMS)
-
-        yield from sums()
+                        value = shard(*(np.concatenate(x) for x in zip(*(unpack(x, 3)[0] for x in packed), strict=True)))
+                        counted = np.zeros(len(ident), np.int64)
+                    sums = np.bincount(of, value, len(ident))
+                    for k in range(0, len(ident), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (ident, sums, counted)], schema=SUMS)
 
     sums = _at_shards(rows, m.deal).mapInArrow(run, SUMS_DDL)
     return sums.groupBy("ident").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"))
@@ -522,12 +619,14 @@ def _round(docs: DataFrame, trusted: DataFrame, model: Model, r: int) -> DataFra
 
 def word_perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame | None:
     """ident, word_perplexity for every (ident, text) of docs by the model of the trusted texts (text); rows of one ident must
-    have one text. No row where the text is empty; None without trusted text."""
-    model = _trained(trusted)
+    have one text. A third column of docs (boolean) may name the rows that are the trusted texts, which are then read once a
+    round and not twice. No row where the text is empty; None without trusted text."""
+    apart = len(docs.columns) < 3
+    model = _trained(trusted, ROUNDS_APART if apart else ROUNDS)
     if model is None:
         return None
     with shuffles_dropped(docs.sparkSession):
-        parts = [materialise(_round(docs, trusted, model, r), "word-sums") for r in range(ROUNDS)]
+        parts = [materialise(_round(docs, trusted if apart else None, model, r), "word-sums") for r in range(model.deal.rounds)]
         drop_scratch(model.answers)
         sums = reduce(DataFrame.union, parts).groupBy("ident").agg(F.sum("logp").alias("logp"), F.sum("n").alias("n"))
         out = materialise(sums.select("ident", F.exp(-F.col("logp") / F.col("n")).alias("word_perplexity")), "word-perplexities")

@@ -544,3 +544,41 @@ def test_frequent_middle_words_are_dealt_over_shards(spark, docs, monkeypatch):
     deal = words_model._dealer(trusted)
     assert len(deal.hot) > 2 and deal.parts.max() > 3
     assert len(whole) > 50 and scores() == {k: pytest.approx(v, rel=1e-9) for k, v in whole.items()}
+
+
+def test_a_round_reads_trusted_documents_once_and_classes_need_no_shuffle(spark, docs):
+    """Documents that are trusted send what the trusted texts would have sent; the class model is scored where texts are read."""
+    from pyspark.sql import functions as F
+
+    source = docs.select(F.xxhash64("doc_id", "text").alias("ident"), F.coalesce("text", F.lit("")).alias("text"), (F.length("text") % 3 == 0).alias("counted"))
+    trusted = source.where("counted").select("text")
+    deal = words_model._dealer(trusted)
+
+    def triples(rows):
+        out = Counter()
+        for row in rows.where(F.col("kind") == words_model.TRUSTED).collect():
+            columns, (n,) = words_model.unpack(row.packed, 3)
+            for *g, k in zip(*(c.tolist() for c in columns), n.tolist(), strict=True):
+                out[row.shard, *g] += k
+        return out
+
+    for r in range(words_model.ROUNDS):
+        want = triples(words_model._sent_triples(trusted, deal, words_model.ROUNDS, r))
+        assert want and triples(words_model._sent_docs(source, deal, words_model.ROUNDS, r)) == want
+    scores = lambda d: {r.ident: r.word_perplexity for r in words_model.word_perplexities(d, trusted).collect()}
+    assert words_model.ROUNDS < words_model.ROUNDS_APART
+    assert scores(source) == {k: pytest.approx(v, rel=1e-9) for k, v in scores(source.drop("counted")).items()}
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    scored = plan(quality.perplexities(source.select("ident", "text"), quality._counted(trusted)))
+    assert "MapInArrow" in scored and scored.count("Exchange") == plan(source).count("Exchange")
+
+
+def test_words_of_all_lengths_have_hashes_of_their_own():
+    letters = "aäb"
+    told = [("x" * n + c + "y" * m).encode() for n in (0, 1, 6, 7, 8, 9, 15, 16, 255, 256, 257, 1000) for m in (0, 1, 300) for c in letters]
+    told = sorted(set(told))
+    hashes, first = words_model.Words().hashes(b" \n".join(told) + b"\t")
+    assert len(set(hashes.tolist())) == len(told) and first[1] == len(told[0]) + 2
+    again = words_model.Words().hashes(b"\r\x0b".join(told[::-1]))[0]
+    assert again.tolist() == hashes.tolist()[::-1] and max(hashes.tolist()) < 1 << words_model.WORD_BITS
+    assert [len(words_model.Words().hashes(t)[0]) for t in (b"", b" ", b"\n\t", b"a")] == [0, 0, 0, 1]
