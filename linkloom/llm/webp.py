@@ -28,6 +28,8 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 LENGTH_CODES, DISTANCE_CODES = 24, 40
 #: Least length of copies found by sorting, and their largest distance.
 MATCH, MOST_BACK = 8, (1 << 20) - 120
+#: A code that this many images have used gets a table of several literals an entry.
+OFTEN = 8
 CACHE_FACTOR = 0x1E35A7BD
 OPAQUE = 0xFF000000
 MOST_SIDE = 1 << 14
@@ -78,11 +80,17 @@ class BitWriter:
 
     def bytes(self) -> bytes:
         self._settle()
-        v, n = np.concatenate(self.values), np.concatenate(self.sizes)
-        width = int(n.max())
-        bits = np.arange(width)
-        grid = (v[:, None] >> bits.astype(np.uint32) & np.uint32(1)).astype(np.uint8)
-        return np.packbits(grid[bits < n[:, None]], bitorder="little").tobytes()
+        n = np.concatenate(self.sizes)
+        v = np.concatenate(self.values) & (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
+        ends = np.cumsum(n)
+        at = ends - n
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        out = np.zeros((int(ends[-1]) >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.bitwise_or.reduceat(v << shift, first)
+        over = np.flatnonzero((at & 63) + n > 64)  # one at most of each 64 bits
+        out[word[over] + 1] |= v[over] >> (np.uint64(64) - shift[over])
+        return out.tobytes()[: -(-int(ends[-1]) // 8)]
 
 
 # ---- prefix codes ----
@@ -107,7 +115,7 @@ class PrefixCode:
 
     def __init__(self, lengths):
         codes = canonical(lengths)
-        self.same = None
+        self.same, self.used, self.several = None, 0, None
         if len(codes) == 1:
             (symbol,) = codes
             self.bits, self.table = 0, [symbol << 4]
@@ -123,6 +131,20 @@ class PrefixCode:
         if all(n == self.bits for _, n in codes.values()):
             self.same, self.order = self.bits, (table >> 4).astype(np.uint32)
 
+    def runs(self) -> list[tuple[bytes, int]] | None:
+        """Entry of the next `bits` bits -> all literals that stand whole in them, and their bits. None for a code that few
+        images have used, as the table takes longer to build than it saves."""
+        self.used += 1
+        if self.several is None and self.bits and self.used > OFTEN:
+            self.several = []
+            for word in range(1 << self.bits):
+                found, at = bytearray(), 0
+                while (e := self.table[word >> at]) < 4096 and at + (e & 15) <= self.bits:
+                    found.append(e >> 4)
+                    at += e & 15
+                self.several.append((bytes(found), at))
+        return self.several
+
 
 @functools.lru_cache(maxsize=256)
 def _code_of(lengths: tuple[int, ...]) -> PrefixCode:
@@ -357,9 +379,24 @@ def _read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
     if groups == 1 and windows and not any(c.bits for c in codes[0][1:4]):  # only the green channel has codes
         rest = np.uint32(codes[0][1].table[0] >> 4 << 16 | codes[0][2].table[0] >> 4 | codes[0][3].table[0] >> 4 << 24)
         (table, mask), (far_table, far_mask) = green, far
-        found, stop = [], n - 3
+        found, stop = bytearray(), n - 3
+        runs = codes[0][0].runs()
+        fast = n - 45 if runs else 0  # three entries hold 45 literals at most
         while k < n and at < size:
             w = windows[at >> 3] >> (at & 7)
+            if k < fast:
+                x, a = runs[w & mask]
+                if a:
+                    w >>= a
+                    y, b = runs[w & mask]
+                    w >>= b
+                    z, c = runs[w & mask]
+                    found += x
+                    found += y
+                    found += z
+                    k = len(found)
+                    at += a + b + c
+                    continue
             a = table[w & mask]
             w >>= a & 15
             if a < 4096:
@@ -368,7 +405,7 @@ def _read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
                     w >>= b & 15
                     c = table[w & mask]
                     if c < 4096:
-                        found += (a >> 4, b >> 4, c >> 4)
+                        found += bytes((a >> 4, b >> 4, c >> 4))
                         at += (a & 15) + (b & 15) + (c & 15)
                         k += 3
                         continue
@@ -399,7 +436,7 @@ def _read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray
                 raise ValueError("a back-reference leaves the image")
             found += found[k - back : k - back + length] if back >= length else (found[k - back :] * (length // back + 1))[:length]
             k += length
-        pixels = np.array(found, np.uint32) << np.uint32(8) | rest
+        pixels = np.frombuffer(found, np.uint8).astype(np.uint32) << np.uint32(8) | rest
         if k == n and at <= size:
             r.at = at
             return pixels.reshape(height, width)
@@ -656,12 +693,16 @@ def _matches(flat: np.ndarray) -> np.ndarray:
     n = len(flat) - MATCH + 1
     if n < 2:
         return np.zeros((0, 3), np.int64)
-    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(flat, MATCH)).view("<u8")[:, 0]
-    order = np.argsort(key, kind="stable")
-    sorted_keys = key[order]
-    again = np.flatnonzero(sorted_keys[1:] == sorted_keys[:-1])
+    key = np.ndarray(n, "<u8", np.ascontiguousarray(flat), strides=(1,)).copy()
+    place = max(n - 1, 1).bit_length()  # numbers of mixed keys and places sort faster than places by keys
+    mixed = key * np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.sort((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(place) << np.uint64(place) | np.arange(n, dtype=np.uint64))
+    near = np.flatnonzero((mixed[1:] ^ mixed[:-1]) >> np.uint64(place) == 0)
+    earlier, later = ((mixed[k] & np.uint64((1 << place) - 1)).astype(np.int64) for k in (near, near + 1))
+    same = key[earlier] == key[later]
+    earlier, later = earlier[same], later[same]
     back = np.zeros(n, np.int64)
-    back[order[again + 1]] = order[again + 1] - order[again]
+    back[later] = later - earlier
     back[back > MOST_BACK] = 0
     starts = np.concatenate(([0], np.flatnonzero(back[1:] != back[:-1]) + 1))
     ends, far = np.concatenate((starts[1:], [n])) + MATCH - 1, back[starts]

@@ -582,3 +582,44 @@ def test_words_of_all_lengths_have_hashes_of_their_own():
     again = words_model.Words().hashes(b"\r\x0b".join(told[::-1]))[0]
     assert again.tolist() == hashes.tolist()[::-1] and max(hashes.tolist()) < 1 << words_model.WORD_BITS
     assert [len(words_model.Words().hashes(t)[0]) for t in (b"", b" ", b"\n\t", b"a")] == [0, 0, 0, 1]
+
+
+def test_webp_bits_copies_and_runs_of_literals_against_brute_force():
+    r = np.random.default_rng(5)
+    for n in (1, 63, 64, 65, 5000):
+        sizes = r.integers(0, 19, n)
+        values = r.integers(0, 1 << 18, n) & (1 << sizes) - 1
+        w = webp.BitWriter()
+        w.write(5, 3)
+        w.extend(values, sizes)
+        bits = "101" + "".join(f"{v:0{k}b}"[::-1] for v, k in zip(values.tolist(), sizes.tolist(), strict=True) if k)
+        bits += "0" * (-len(bits) % 8)
+        assert w.bytes() == bytes(int(bits[k : k + 8][::-1], 2) for k in range(0, len(bits), 8))
+    for body in (b"", b"1234567", b"12345678" * 2, b"ab" * 300, bytes(r.integers(0, 3, 3000, np.uint8)), bytes(r.integers(0, 256, 900, np.uint8)) * 2):
+        last, at, want = {}, 0, []
+        back = [0] * max(0, len(body) - webp.MATCH + 1)
+        for k in range(len(back)):
+            key = body[k : k + webp.MATCH]
+            back[k] = k - last.get(key, k)
+            last[key] = k
+        k = 0
+        while k < len(back):
+            j = k
+            while j < len(back) and back[j] == back[k]:
+                j += 1
+            s, e = max(k, at), j + webp.MATCH - 1
+            if back[k]:
+                while e - s >= webp.MATCH:
+                    want.append([s, min(e - s, 4096), back[k]])
+                    s += want[-1][1]
+                at = s
+            k = j
+        assert webp._matches(np.frombuffer(body, np.uint8)).tolist() == want
+    code = webp._code_of(media.usual_code()[0])
+    for body in [b"some plain text, told once; " * 2 + bytes(r.integers(97, 123, n, np.uint8)) for n in range(0, 600, 20)]:
+        payload = media.padded(body)
+        assert media.load(media.store(payload)).tobytes() == payload
+    runs = code.runs()
+    assert max(len(x) for x, _ in runs) > 1 and all(k <= code.bits for _, k in runs)
+    with pytest.raises(ValueError):
+        media.load(media.store(payload)[:-40] + bytes(0))
