@@ -562,7 +562,7 @@ class Shard:
         return out
 
 
-def _together(rows: Iterator[bytes], most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+def _together(rows: Iterator[bytes], most: int = 150_000) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """Packed documents taken together, about so many triples or words at a time: their idents, to which of these each triple
     or word belongs, and what is packed."""
     idents, sizes, packed, held = [], [], [], 0
@@ -601,12 +601,14 @@ def _round(docs: DataFrame, trusted: DataFrame | None, model: Model, r: int) ->
                             known = [unpack(x, 1) for x in told[KNOWN_WORDS]]
                             n1 = np.concatenate([np.zeros(0), *(n[0] for _, n in known)])
                             single = Lookup(np.concatenate([np.zeros(0, np.uint64), *(w[0] for w, _ in known)]), np.log1p((n1 - 0.5) / m.pairs / m.unknown))
+                            told[KNOWN_WORDS], known, n1 = [], None, None  # a task holds a shard once
                         c, n = (np.concatenate(x) for x in zip(*((w[0], k[0]) for w, k in (unpack(x, 1) for x in packed)), strict=True))
                         value = (single(c) + np.log(m.unknown)) * n
                         counted = np.bincount(of, n, len(ident)).astype(np.int64)
                     else:
                         if shard is None:
-                            shard = Shard(m, told)
+                            single, shard = None, Shard(m, told)
+                            told[TRUSTED], told[WORDS], told[HOT_PAIRS] = [], [], []
                         value = shard(*(np.concatenate(x) for x in zip(*(unpack(x, 3)[0] for x in packed), strict=True)))
                         counted = np.zeros(len(ident), np.int64)
                     sums = np.bincount(of, value, len(ident))
